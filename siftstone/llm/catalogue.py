@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftstone.llm import forms, near, oracle, sampling
+from siftstone.llm import forms, language, leakage, mixing, near, oracle, packing, sampling, splitting
 
-MODULES = (sampling, forms, near)
+MODULES = (sampling, forms, near, splitting, leakage, packing, mixing, language)
 
 
 def queries() -> dict:

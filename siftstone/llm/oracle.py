@@ -18,11 +18,32 @@ alike as (
   join sizes sa on sa.sample_id = a.sample_id join sizes sb on sb.sample_id = b.sample_id
   group by 1, 2, sa.n, sb.n having count(*) * 17 >= (sa.n + sb.n) * 7)"""
 
+_TOKENS = r"regexp_extract_all(code, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r \x{85}\p{Z}]')"
+
+_BLANK = r"[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]"
+_KEY = rf"""^{_BLANK}*\.?{_BLANK}*["''`]?{_BLANK}*[\p{{L}}\p{{N}}_]+{_BLANK}*["''`]?{_BLANK}*[:=]"""
+_LETTERS = r"regexp_replace(%s, '[^\p{L}\p{N}]+', '', 'g')"
+_ENTRIES = rf"list_filter(string_split(s[2:-2], ','), lambda e: regexp_matches(e, '[^\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}]'))"
+_FORM = rf"""array_to_string(list_transform(regexp_extract_all(lower(code), '\{{[^{{}}]*\}}|[^{{}}]+|[{{}}]'), lambda s:
+  case when len(s) > 1 and s[1] = '{{' and len(list_filter({_ENTRIES}, lambda e: not regexp_matches(e, '{_KEY}'))) = 0
+  then array_to_string(list_sort(list_transform({_ENTRIES}, lambda e: {_LETTERS % 'e'})), '') else {_LETTERS % 's'} end), '')"""
+_FORMS = f"forms as (select sample_id, split, form from (select sample_id, split, {_FORM} as form from dataset_ml_ready where code is not null) where form <> '')"
+
 ORACLE = {
     "p1_found": f"""with {READ_SQL}, strata as (
   select case when label in ('Safe', 'CWE-79', 'CWE-89', 'CWE-78', 'CWE-22', 'CWE-434', 'CWE-352') then label else 'Other' end as cwe_label,
     language as programming_language from read)
 select t.cwe_label, t.programming_language from sampling_target t
 where (select count(*) from strata s where s.cwe_label = t.cwe_label and s.programming_language = t.programming_language) < {_NEED}""",
+    "p4_found": f"""select 'dataset_ml_ready' as table_name, sample_id as item_id from dataset_ml_ready where len({_TOKENS}) > 510
+union all select 'code_payload', payload_id from code_payload where len({_TOKENS}) > 510""",
     "p3_found": f"with {_SHINGLES} select sample_a, sample_b from alike",
+    "p2_found": f"""with {_FORMS} select * from (select min(sample_id) over (partition by form) as kept_id, sample_id from forms)
+where kept_id <> sample_id""",
+    "p6_found": f"""with {_SHINGLES}, {_FORMS}, splits as (select sample_id, split from dataset_ml_ready)
+select sample_a, sample_b from alike join splits a on a.sample_id = sample_a join splits b on b.sample_id = sample_b
+where (a.split = 'train' and b.split in ('val', 'test')) or (b.split = 'train' and a.split in ('val', 'test'))
+union
+select least(t.sample_id, e.sample_id), greatest(t.sample_id, e.sample_id) from forms t join forms e using (form)
+where t.split = 'train' and e.split in ('val', 'test')""",
 }
