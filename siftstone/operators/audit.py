@@ -64,13 +64,16 @@ def finding_count(code: Column, lang: Column) -> Column:
     """How many (line, rule) pairs match, without a row per line."""
     key = rule_language(lang)
     lines = raw_lines(code)
-    per_rule = [F.when(key == name, F.size(F.filter(lines, lambda x, p=pattern: x.rlike(p)))).otherwise(0) for name, pattern, _, _ in STATIC_RULES]
-    total = per_rule[0]
-    for c in per_rule[1:]:
-        total = total + c
+    total = F.lit(0)
+    for name, pattern, _, _ in STATIC_RULES:
+        total = total + F.when(key == name, _matching(lines, pattern)).otherwise(0)
     return F.coalesce(total, F.lit(0)).cast("bigint")
 
 
+def _matching(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+
+
 def scored(blocks: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
     """``blocks`` with ``tags``, ``n_tags``, ``n_findings`` and ``risk_score``; no shuffle. Null code scores 0."""
     tags = F.coalesce(block_tags(F.col("code"), vocabulary), F.array().cast("array<string>"))

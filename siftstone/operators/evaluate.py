@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +30,7 @@ def class_report(counts: DataFrame) -> DataFrame:
 def overall(counts: DataFrame) -> DataFrame:
     """(accuracy, macro_f1) as one row."""
     right = F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)) / F.sum("n")
-    f1 = class_report(counts).agg(F.avg("f1").alias("macro_f1"))
-    return counts.agg(right.alias("accuracy")).join(F.broadcast(f1))  # one row each
+    return counts.agg(right.alias("accuracy")).withColumn("macro_f1", class_report(counts).agg(F.avg("f1")).scalar())
 
 
 def full_report(counts: DataFrame) -> DataFrame:
@@ -57,19 +59,34 @@ def trailing_mean(df: DataFrame, step: str, value: str, width: int = 50, every:
 def early_stopping(df: DataFrame, run: str, epoch: str, score: str, delta: float = 0.0001, patience: int = 3) -> DataFrame:
     """(run, best, best_epoch, stopped_at): the fold over a run's epochs; ``stopped_at`` is null if patience never ran out.
 
-    The best moves only when beaten by more than ``delta``. A run's epochs are few and folded in one row.
+    The best moves only when beaten by more than ``delta``, which no window frame can state. Runs are sorted within their
+    partition and folded as they stream by, so memory doesn't grow with a run. Null scores are skipped; equal epochs are
+    folded by rising score.
     """
-    start = F.struct(
-        F.lit(float("-inf")).alias("best"), F.lit(None).cast("bigint").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("stop")
-    )
-
-    def step(s, x):
-        better = x["v"] > s["best"] + delta
-        moved = F.struct(x["v"].alias("best"), x["e"].alias("at"), F.lit(0).alias("bad"), s["stop"].alias("stop"))
-        bad = s["bad"] + 1
-        stayed = F.struct(s["best"].alias("best"), s["at"].alias("at"), bad.alias("bad"), F.when(bad >= patience, x["e"]).alias("stop"))
-        return F.when(s["stop"].isNotNull(), s).when(better, moved).otherwise(stayed)
-
-    epochs = F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("bigint").alias("e"), F.col(score).cast("double").alias("v"))))
-    folded = df.where(F.col(score).isNotNull()).groupBy(run).agg(F.aggregate(epochs, start, step).alias("s"))
-    return folded.select(run, F.col("s.best").alias("best"), F.col("s.at").alias("best_epoch"), F.col("s.stop").alias("stopped_at"))
+    kind = df.schema[run].dataType.simpleString()
+    picked = df.where(F.col(score).isNotNull() & F.col(run).isNotNull()).select(F.col(run).alias("run"), F.col(epoch).cast("bigint").alias("e"), F.col(score).cast("double").alias("v"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: list | None = None  # run, best, its epoch, epochs without a better one, stop
+        done = []
+        for batch in batches:
+            for r, e, v in zip(batch["run"], batch["e"].tolist(), batch["v"].tolist()):
+                if now is None or now[0] != r:
+                    done += [now] if now else []
+                    now = [r, v, e, 0, None]
+                elif now[4] is None:
+                    if v > now[1] + delta:
+                        now[1:4] = v, e, 0
+                    else:
+                        now[3] += 1
+                        now[4] = e if now[3] >= patience else None
+            if len(done) > 10_000:
+                yield frame(done)
+                done = []
+        yield frame(done + ([now] if now else []))
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame([(r, b, e, s) for r, b, e, _, s in rows], columns=["run", "best", "best_epoch", "stopped_at"]).astype({"stopped_at": "Int64"})
+
+    folded = picked.repartition("run").sortWithinPartitions("run", "e", "v").mapInPandas(fold, f"run {kind}, best double, best_epoch bigint, stopped_at bigint")
+    return folded.withColumnRenamed("run", run)

@@ -73,7 +73,7 @@ def numbered(df: DataFrame, id_column: str, seed: str = "42") -> DataFrame:
 
 def chunk_of(place: Column, total: Column, chunks: int) -> Column:
     """The chunk (from 0) of a place when ``total`` rows are cut into nearly equal chunks, the first ones one longer."""
-    small, more = F.expr("1") * F.floor(total / chunks), total % chunks
+    small, more = F.floor(total / chunks), total % chunks
     edge = more * (small + 1)
     return F.when(place < edge, F.floor(place / (small + 1))).otherwise(more + F.floor((place - edge) / F.greatest(small, F.lit(1)))).cast("bigint")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftstone.plans import skewed_keys
+from siftstone.plans import audit_queries, corpus_queries, skewed_keys, training_queries
 
-MODULES = (skewed_keys,)
-FLAGSHIP = "p5_found"
+MODULES = (audit_queries, corpus_queries, training_queries, skewed_keys)
+FLAGSHIP = "risk_score"
 
 
 def queries() -> dict:
