@@ -74,6 +74,23 @@ def _matching(lines: Column, pattern: str) -> Column:
     return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
 
 
+def block_findings(code: Column, lang: Column, first_line: Column) -> Column:
+    """The findings of a block as a sorted array of struct(line_no, severity, message, content); empty for null code."""
+    key = rule_language(lang)
+    lines = raw_lines(code)
+    none = F.array().cast("array<struct<line_no:bigint,severity:string,message:string,content:string>>")
+
+    def of(pattern: str, message: str, severity: str) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct((first_line + i).cast("bigint").alias("n"), x.alias("x")))
+        hits = F.filter(numbered, lambda s: s["x"].rlike(pattern))
+        return F.transform(
+            hits, lambda s: F.struct(s["n"].alias("line_no"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.substring(strip(s["x"]), 1, 80).alias("content"))
+        )
+
+    parts = [F.when((key == name) & code.rlike(pattern), of(pattern, message, severity)).otherwise(none) for name, pattern, message, severity in STATIC_RULES]
+    return F.array_sort(F.flatten(F.array(*parts)))
+
+
 def scored(blocks: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
     """``blocks`` with ``tags``, ``n_tags``, ``n_findings`` and ``risk_score``; no shuffle. Null code scores 0."""
     tags = F.coalesce(block_tags(F.col("code"), vocabulary), F.array().cast("array<string>"))

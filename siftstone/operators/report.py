@@ -8,33 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.derive import php_wrapped, rough_metrics
-from siftstone.operators.audit import scored, static_rules
+from siftstone.operators.audit import block_findings, scored
 from siftstone.operators.segment import functions
 
 
 def audited(files: DataFrame, id_column: str) -> DataFrame:
     """One row per function of each file with features, tags, findings and risk.
 
-    Metrics are the segmenter's, and the rough ones where a file has no function. Findings are gathered per function (a
-    function's lines bound their number) and joined by function.
+    Metrics are the segmenter's, and the rough ones where a file has no function. Everything after the segmentation is
+    computed within the row: no shuffle, and the files are parsed once.
     """
     rows = functions(files, id_column).where("error is null")
     rough = rough_metrics(php_wrapped(F.col("code"), F.col("lang")))
-    found = scored(rows)
+    found = scored(rows).withColumn("findings", block_findings(F.col("code"), F.col("lang"), F.col("start_line")))
     measured = found.withColumn("__r", F.when(~F.col("parsed"), rough))
-    ids = [id_column, "function_name", "start_line", "end_line"]
-    findings = (
-        static_rules(rows, ids, F.col("start_line"))
-        .groupBy(*ids)
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "severity", "message", "content"))).alias("findings"))
-    )
-    none = F.array().cast("array<struct<line_no:bigint,severity:string,message:string,content:string>>")
     features = F.struct(
         F.coalesce("nloc", "__r.nloc").alias("nloc"), F.coalesce("complexity", F.col("__r.complexity").cast("double")).alias("complexity"),
         F.coalesce("token_count", "__r.token_count").alias("token_count"), F.coalesce("parameters_count", F.lit(0)).alias("parameters_count"),
         F.coalesce("top_nesting_level", F.lit(0)).alias("top_nesting_level"), F.col("n_tags").alias("suspicious_tags_count"),
     )
-    return measured.join(findings, ids, "left").select(*ids, "lang", "code", "risk_score", "tags", features.alias("features"), F.coalesce("findings", none).alias("findings"))
+    return measured.select(id_column, "function_name", "start_line", "end_line", "lang", "code", "risk_score", "tags", features.alias("features"), "findings")
 
 
 def per_file(blocks: DataFrame, id_column: str, *columns: str) -> DataFrame:
