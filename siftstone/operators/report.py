@@ -35,7 +35,9 @@ def per_file(blocks: DataFrame, id_column: str, *columns: str) -> DataFrame:
     keep = columns or ("function_name", "start_line", "end_line", "risk_score", "tags", "features", "findings")
     order = ["start_line", "end_line", "function_name"]
     entry = F.struct(*order, *[c for c in keep if c not in order])
-    return blocks.groupBy(id_column).agg(F.count("*").alias("total_functions"), F.array_sort(F.collect_list(entry)).alias("functions"))
+    place = lambda e: F.struct(*[e[c].alias(c) for c in order])  # noqa: E731 predictions hold maps, which have no order
+    first = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    return blocks.groupBy(id_column).agg(F.count("*").alias("total_functions"), F.array_sort(F.collect_list(entry), first).alias("functions"))
 
 
 def risky(score: Column, label: Column, limit: float = 60.0, scale: float = 1.0) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.dictionaries import LABEL_NAMES
 from siftstone.operators.vectors import prediction
 
 #: A scorer maps a DataFrame with ``code`` to it plus ``probabilities`` (one per label).
@@ -33,7 +34,9 @@ def model_scorer(model: PipelineModel, code: str = "code") -> Scorer:
 
     def score(df: DataFrame) -> DataFrame:
         known = df.withColumn("__code", F.col(code)).withColumn(code, F.coalesce(code, F.lit("")))
-        out = model.transform(known).withColumn("probabilities", F.when(F.length("__code") > 0, vector_to_array("__p")))
+        p = vector_to_array("__p")  # as long as the highest label seen in fitting
+        padded = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(len(LABEL_NAMES)) - F.size(p), F.lit(0))))
+        out = model.transform(known).withColumn("probabilities", F.when(F.length("__code") > 0, padded))
         return out.withColumn(code, F.col("__code")).select(*df.columns, "probabilities")
 
     return score
