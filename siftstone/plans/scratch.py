@@ -29,7 +29,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the scratch folder, removed when the driver ends."""
-    path = f"{scratch_root(spark)}/siftstone/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siftstone/{name}-{uuid.uuid4().hex}")
+    path = given.getFileSystem(conf).makeQualified(given).toString()  # Python workers need the scheme, too
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
     atexit.register(_remove, spark, path)
     return path
 
