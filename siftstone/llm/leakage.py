@@ -7,6 +7,10 @@ itself isn't kept. Shards hold neighbouring sizes, so a training text visits onl
 likeness. Training texts stream by, all different runs of an Arrow batch being searched at once; training data
 is never shuffled.
 
+A bit map of each shard's runs is asked first: a text of which the shard cannot hold ``ceil(t n)`` runs has no partner there and is
+not searched. That test errs on one side only, so nothing is lost, and it makes a further shard cost a small part of
+a search.
+
 A text of ``n`` runs shares at least ``ceil(t n)`` with any partner, so among its ``n - ceil(t n) + 1`` runs that the
 index finds least often one must occur in that partner: those are located, the rest only counted. Matches are merged into
 maximal spans per pair, and the exact likeness decides.
@@ -25,6 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftstone.functions.readings import code_form, weakness_label
 from siftstone.llm.shingles import WordHashes, likeness_terms, runs, set_keys, sets, shared, word_hashes
@@ -37,9 +42,25 @@ WIDTH = 3
 THRESHOLD = 0.7
 #: Located suffixes that are expanded at a time.
 _EXPAND = 2_000_000
+#: Bits of the map of a shard's runs: 8 MB, about a tenth full for a full shard.
+PRESENT_BITS = 26
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _presence(h: np.ndarray, bits: int = PRESENT_BITS) -> np.ndarray:
+    field = np.zeros(1 << (bits - 3), np.uint8)
+    at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
+    byte, first = np.unique(at >> 3, return_index=True)
+    if len(at):
+        field[byte] = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+    return field
+
+
+def _present(field: np.ndarray, h: np.ndarray, bits: int = PRESENT_BITS) -> np.ndarray:
+    at = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+
 def _form_digest(code: str | None) -> bytes | None:
     form = code_form(code)
     return form and hashlib.md5(form.encode("utf-8", "surrogatepass")).digest()
@@ -133,7 +154,7 @@ def _load(folder: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return out
 
 
-_ARRAYS = ("steps", "holder", "first", "vocabulary", "runs", "run_offsets", "set_key")
+_ARRAYS = ("steps", "holder", "first", "vocabulary", "runs", "run_offsets", "set_key", "present")
 
 
 def _evaluation_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +211,7 @@ def build_index(rows: DataFrame, shard_words: int = SHARD_WORDS) -> list[tuple[s
         keys = group.column("set_key").to_numpy().view(np.uint64)
         h, at = sets(*runs(flat, np.diff(offsets), WIDTH), len(n))
         folder = f"{root}/{uuid.uuid4().hex}"  # a repeated attempt writes another folder
-        _save(folder, build_shard(flat, offsets) | {"runs": h, "run_offsets": at, "set_key": keys})
+        _save(folder, build_shard(flat, offsets) | {"runs": h, "run_offsets": at, "set_key": keys, "present": _presence(h)})
         return pa.table({"folder": [folder], "least": pa.array([int(n.min())], pa.int32()), "most": pa.array([int(n.max())], pa.int32())})
 
     sharded = classes.join(F.broadcast(where), "size_range").select((F.col("shard") + F.pmod(F.xxhash64("set_key"), F.col("parts"))).alias("shard"), "set_key", "n", "words")
@@ -243,6 +264,23 @@ def _pairs(index: dict, batch: dict, pick: np.ndarray, top: int, bottom: int) ->
             yield m[j], o[j], int(both[j]), float(both[j] / (total[j] - both[j]))
 
 
+def _searchable(words: np.ndarray, counts: np.ndarray, h: np.ndarray, text: np.ndarray, chosen: np.ndarray) -> dict[str, np.ndarray]:
+    """The words of a batch, padded as in the index, and where an example of each run of the ``chosen`` texts stands."""
+    padded_counts = np.where(counts > 0, np.maximum(counts, WIDTH), 0)
+    starts = np.concatenate([[0], np.cumsum(padded_counts)])
+    padded = np.full(int(starts[-1]), _PAD, np.uint64)
+    own = np.repeat(np.arange(len(counts)), counts)
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    padded[starts[own] + np.arange(len(words)) - first[own]] = words
+    run_start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(counts)))])
+    wanted = np.zeros(len(counts), bool)
+    wanted[chosen] = True
+    entry = np.flatnonzero(wanted[text])
+    all_runs, example = np.unique(h[entry], return_index=True)
+    example = entry[example]
+    return {"all_runs": all_runs, "example": starts[text[example]] + example - run_start[text[example]], "padded": padded, "run_start": run_start}
+
+
 def _take(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = offsets[rows + 1] - offsets[rows]
     out = np.concatenate([[0], np.cumsum(n)])
@@ -265,7 +303,7 @@ def stream(training: DataFrame, shards: list[tuple[str, int, int]], threshold: f
     """
     top, bottom = likeness_terms(threshold)
     kind = training.schema["id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.string()
+    id_type = to_arrow_type(training.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, seen = WordHashes(), set()
@@ -291,26 +329,26 @@ def stream(training: DataFrame, shards: list[tuple[str, int, int]], threshold: f
                 fresh = [k for k, key in enumerate(keys.tolist()) if key and not (key in seen or seen.add(key))]
                 if not fresh or not opened:
                     continue
-                all_runs, example = np.unique(h, return_index=True)
-                padded_counts = np.where(counts > 0, np.maximum(counts, WIDTH), 0)
-                padded_starts = np.concatenate([[0], np.cumsum(padded_counts)])
-                padded = np.full(int(padded_starts[-1]), _PAD, np.uint64)
-                own = np.repeat(np.arange(len(counts)), counts)
-                first_word = np.concatenate([[0], np.cumsum(counts)])[:-1]
-                padded[padded_starts[own] + np.arange(len(words)) - first_word[own]] = words
-                number = np.bincount(text, minlength=len(texts))
-                run_start = np.concatenate([[0], np.cumsum(number)])
-                at = padded_starts[text] + np.arange(len(h)) - run_start[text]
-                batch = {"runs": values, "offsets": offsets, "all_runs": all_runs, "example": at[example], "padded": padded}
                 fresh = np.array(fresh)
-                rows = []
+                own = np.repeat(np.arange(len(n)), n)
+                todo = []
                 for index, least, most in opened:
-                    able = fresh[(n[fresh] * bottom >= least * top) & (n[fresh] * top <= most * bottom)]
-                    if not len(able):
-                        continue
+                    able = np.zeros(len(n), bool)
+                    able[fresh] = (n[fresh] * bottom >= least * top) & (n[fresh] * top <= most * bottom)
+                    at = np.flatnonzero(able[own])
+                    held = np.bincount(own[at], _present(index["present"], values[at]), len(n))
+                    able &= held * bottom >= n * top
+                    if able.any():
+                        todo.append((index, np.flatnonzero(able)))
+                if not todo:
+                    continue
+                batch = _searchable(words, counts, h, text, np.unique(np.concatenate([able for _, able in todo])))
+                batch |= {"runs": values, "offsets": offsets}
+                rows = []
+                for index, able in todo:
                     for m, o, both, likeness in _pairs(index, batch, able, top, bottom):
                         theirs = index["runs"][index["run_offsets"][o] : index["run_offsets"][o + 1]]
-                        spans, longest = _spans(np.isin(h[run_start[m] : run_start[m + 1]], theirs), WIDTH)
+                        spans, longest = _spans(np.isin(h[batch["run_start"][m] : batch["run_start"][m + 1]], theirs), WIDTH)
                         rows.append((int(keys[m].view(np.int64)), int(index["set_key"][o].view(np.int64)), both, likeness, spans, longest))
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), _MATCH_TYPES)]
