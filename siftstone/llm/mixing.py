@@ -72,7 +72,7 @@ def mix(sized: DataFrame, weights: DataFrame, id_column: str, source_column: str
         [(s, p["demand"], p["scheduled"], p["tilt"], p["supply"], p["repeats"]) for s, p in plan.items()],
         "source string, __demand bigint, __scheduled bigint, __tilt double, __supply bigint, __repeats int",
     )
-    placed = hashed_prefix(texts, "source", (id_column,), F.col("n_tokens"), "__before", seed).join(F.broadcast(planned), "source")
+    placed = hashed_prefix(texts, "source", (id_column,), F.col("n_tokens"), "__before", max((c for c, _ in supply.values()), default=0), seed).join(F.broadcast(planned), "source")
     passes = F.expr("cast(greatest(0, (__demand - __before - 1 + __supply) div __supply) as int)")  # passes that reach this text
     copies = (
         placed.withColumn("__passes", F.least(passes, "__repeats"))

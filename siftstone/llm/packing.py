@@ -106,7 +106,7 @@ def pack(sized: DataFrame, id_column: str, size_column: str, capacity: int = CAP
     plan = spark.createDataFrame(plan_batches(bounds, held, capacity), "bucket int, __first bigint, __each int, __at bigint, __times bigint")
     lookup = spark.createDataFrame(list(zip(range(1, capacity + 1), of_length)), "n_tokens bigint, bucket int")
     bucketed = pieces.join(F.broadcast(lookup), "n_tokens")
-    ranked = hashed_prefix(bucketed, "bucket", (id_column, "piece_no"), F.lit(1), "__rank")
+    ranked = hashed_prefix(bucketed, "bucket", (id_column, "piece_no"), F.lit(1), "__rank", max(held, default=0))
     placed = ranked.join(F.broadcast(plan), (ranked["bucket"] == plan["bucket"]) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__each") * F.col("__times")))
     container = F.col("__at") + F.expr("(__rank - __first) div __each")
     return placed.select(container.alias("container"), id_column, "piece_no", "first_token", "n_tokens")

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftstone.functions.readings import weakness_label, with_language
-from siftstone.plans.dims import sized
+from siftstone.llm.prefix import range_count, range_of
 from siftstone.plans.scratch import materialise
 from siftstone.sources.tables import table
 
-#: Hash ranges per leaf that are ranked independently.
-BUCKETS = 4096
 #: Strata up to which the allocation is solved on the driver.
 MAX_STRATA = 100_000
 #: Labels with strata of their own; all else, no label included, is Other. Fixed values.
@@ -129,7 +127,8 @@ def draw(rows: DataFrame, report: DataFrame, strata: Sequence[str], id_column: s
     keys = list(strata)
     quota = report.select(*keys, F.col("allocated").alias("__q"))
     hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_column)))
-    hashed = hashed.withColumn("__b", F.expr(f"cast(shiftrightunsigned(__h, {64 - BUCKETS.bit_length() + 1}) as int)"))
+    largest = report.agg(F.max("available")).first()[0] or 0
+    hashed = hashed.withColumn("__b", range_of("__h", range_count(largest)))
     w = Window.partitionBy(*keys).orderBy("__b")
     starts = (
         hashed.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
@@ -137,7 +136,7 @@ def draw(rows: DataFrame, report: DataFrame, strata: Sequence[str], id_column: s
         .join(F.broadcast(quota), keys)
         .where(F.col("__start") < F.col("__q"))
         .drop("__c")
-    )  # at most BUCKETS rows a stratum
+    )  # at most MOST_RANGES rows a stratum
     ranked = hashed.join(F.broadcast(starts), [*keys, "__b"]).withColumn(
         "draw_rank", F.col("__start") + F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", id_column))
     )
