@@ -36,14 +36,14 @@ from siftstone.llm.shingles import WordHashes, likeness_terms, runs, set_keys, s
 from siftstone.plans.scratch import materialise, scratch_path
 from siftstone.sources.tables import table
 
-#: Words a shard of the index holds at most, unless a single text is longer: some 400 MB while it is built.
-SHARD_WORDS = 8_000_000
+#: Words a shard of the index holds at most, unless a single text is longer: some 100 MB while it is built.
+SHARD_WORDS = 2_000_000
 WIDTH = 3
 THRESHOLD = 0.7
 #: Located suffixes that are expanded at a time.
 _EXPAND = 2_000_000
-#: Bits of the map of a shard's runs: 8 MB, about a tenth full for a full shard.
-PRESENT_BITS = 26
+#: Bits of the map of a shard's runs: 2 MB, about a tenth full for a full shard.
+PRESENT_BITS = 24
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
