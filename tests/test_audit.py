@@ -68,6 +68,15 @@ def test_vocabulary_is_a_parameter(tmp_path, blocks):
     assert got == {"unicode"}
 
 
+def test_all_indicators_are_bundled(spark):
+    assert len(indicators()) == 257
+    assert set(indicators()) < set(indicators({"sql": ["zzz"]}))  # a family of the same name adds words
+    code = "xml etree dtd\nurlopen fetch curl\npassword apikey token session\nrc4 ecb random\n"
+    rows = spark.createDataFrame([("a", "python", code)], "id string, lang string, code string")
+    assert scored(rows).first()["tags"] == sorted(code.split())
+    assert {r["line_no"]: r["n"] for r in indicator_scan(rows).groupBy("line_no").agg(F.count("*").alias("n")).collect()} == {1: 3, 2: 3, 3: 4, 4: 3}
+
+
 PYTHON = 'import os\n\ndef first(a, b=(1, 2)):\n    """def no(): {"""\n    if a and b:\n        return 1\n    return 2\n\nclass C:\n    async def second(self):\n        pass\n'
 JAVA = "class A {\n  int one(int a, Map<K, V> b) {\n    if (a > 0) { return 1; } // }\n    return 2;\n  }\n  void two() {}\n}\n"
 
