@@ -54,3 +54,46 @@ def detail_line(name: Column, start: Column, end: Column, score: Column, label:
     """A block's line of the Markdown report."""
     icon = F.when(score * scale > high, F.lit("🔴")).otherwise(F.lit("🟠"))
     return F.format_string("- %s **%s** (%d-%d) score %.2f, %s", icon, name, start, end, score, F.coalesce(label, F.lit("Safe")))
+
+
+def function_lines(name: Column, start: Column, end: Column, score: Column, label: Column, findings: Column, high: float = 80.0, scale: float = 1.0) -> Column:
+    """A risky function's lines of the report: head, score and label, and one line per finding (whose rules have no name of their own)."""
+    icon = F.when(score * scale > high, F.lit("🔴")).otherwise(F.lit("🟠"))
+    head = F.format_string("- %s **%s** (Líneas %d-%d)\n  - **Score:** %.2f | **IA:** %s\n", icon, name, start, end, score, F.coalesce(label, F.lit("Safe")))
+    return F.concat(head, F.repeat(F.lit("  - 🔍 *Regla:* General\n"), F.coalesce(F.size(findings), F.lit(0))))
+
+
+def reports(files: DataFrame, blocks: DataFrame, groups: Sequence[str], id_column: str, label: Column | None = None, scale: float = 1.0) -> DataFrame:
+    """(groups, n_files, n_functions, n_risky, message, report): a chat message and the whole Markdown report of each request.
+
+    ``files`` has ``groups``, the identifier, ``filename``, ``title`` and ``at`` (the report's time); ``blocks`` are the rows of ``audited``.
+    A file without functions counts as a file. Only lines of risky functions are gathered, per file and then per request.
+    """
+    label = F.lit(None).cast("string") if label is None else label
+    lines = function_lines(F.col("function_name"), F.col("start_line"), F.col("end_line"), F.col("risk_score"), label, F.col("findings"), scale=scale)
+    listed = F.when(risky(F.col("risk_score"), label, scale=scale), F.struct("start_line", "end_line", "function_name", lines.alias("text")))
+    found = blocks.select(id_column, listed.alias("__l")).groupBy(id_column).agg(
+        F.count("*").alias("__n"), F.count("__l").alias("__r"), F.array_join(F.transform(F.array_sort(F.collect_list("__l")), lambda x: x["text"]), "").alias("__t")
+    )
+    section = F.when(F.col("__r") > 0, F.concat(F.lit("## 📂 Archivo: "), F.coalesce("filename", F.lit("unknown")), F.lit("\n"), "__t", F.lit("\n")))
+    part = F.when(section.isNotNull(), F.struct(F.col(id_column).alias("id"), section.alias("text")))
+    totals = (
+        files.join(found, id_column, "left").groupBy(*groups).agg(
+            F.count("*").alias("n_files"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_functions"), F.coalesce(F.sum("__r"), F.lit(0)).alias("n_risky"),
+            F.coalesce(F.min("title"), F.lit("")).alias("__title"), F.coalesce(F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("__at"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "").alias("__details"),
+        )
+    )
+    n, none = F.col("n_risky"), F.col("n_risky") == 0
+    message = F.concat(
+        F.format_string("🛡️ *Security Audit: %s*\n━━━━━━━━━━━━━━━━━━\n", "__title"),
+        F.format_string("Estado: *%s*\n", F.when(none, F.lit("✅ APROBADO")).otherwise(F.lit("⚠️ REVISIÓN REQUERIDA"))),
+        F.format_string("• Archivos: `%d`\n• Vulnerabilidades: `%d`\n", "n_files", n),
+        F.when(none, F.lit("")).otherwise(F.lit("\n👇 _Ver archivo adjunto para detalles._")),
+    )
+    report = F.concat(
+        F.format_string("# Reporte de Seguridad - %s\n**Fecha:** %s\n\n## Resumen\n", "__title", "__at"),
+        F.format_string("- Total Archivos: %d\n- Total Funciones: %d\n- Hallazgos Críticos: %d\n\n--- \n", "n_files", "n_functions", n),
+        F.lit("## Detalle de Vulnerabilidades\n\n"), F.when(none, F.lit("🎉 Sin vulnerabilidades detectadas.")).otherwise(F.col("__details")),
+    )
+    return totals.select(*groups, "n_files", "n_functions", "n_risky", message.alias("message"), report.alias("report"))

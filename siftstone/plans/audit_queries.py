@@ -94,18 +94,33 @@ def audit_batch_json(spark, d):
 
 
 def report_summary(spark, d):
-    """Per request: files, blocks and blocks above the risk limit (scaled to 100)."""
+    """Per request: files, and files above the risk limit (scaled to 100), each as one block; by function: ``report_text``."""
     rows = audit.scored(blocks(spark, d))
     return report.summary(rows, ["pr_id"], "payload_id", report.risky(F.col("risk_score"), F.lit(None).cast("string"), scale=100.0))
 
 
 def report_detail(spark, d):
-    """The report's line of each risky block."""
+    """A line of each risky file as one block; by function: ``report_functions``."""
     rows = audit.scored(blocks(spark, d)).where(report.risky(F.col("risk_score"), F.lit(None).cast("string"), scale=100.0))
     line = report.detail_line(F.coalesce("filename", F.lit("main_script")), F.lit(1), F.size(F.split("code", "\n", -1)), F.col("risk_score"), F.lit(None).cast("string"), scale=100.0)
     return rows.select("pr_id", "payload_id", line.alias("line"))
 
 
+def report_functions(spark, d):
+    """The report's lines of each risky function."""
+    rows = audit_functions(spark, d).where(report.risky(F.col("risk_score"), F.lit(None).cast("string"), scale=100.0))
+    lines = report.function_lines(*[F.col(c) for c in ("function_name", "start_line", "end_line", "risk_score")], F.lit(None).cast("string"), F.col("findings"), scale=100.0)
+    files = table(spark, d, "code_payload", "payload_id", "pr_id")
+    return files.join(rows.select("payload_id", "function_name", "start_line", "end_line", lines.alias("lines")), "payload_id")
+
+
+def report_text(spark, d):
+    """Per request: files, functions, risky functions (scaled to 100), the chat message and the Markdown report, dated by its last file."""
+    files = table(spark, d, "code_payload", "payload_id", "pr_id", "pr_title", "filename", "code", "received_at").where("code is not null").drop("code")
+    named = files.withColumnsRenamed({"pr_title": "title", "received_at": "at"})
+    return report.reports(named, audit_functions(spark, d), ["pr_id"], "payload_id", scale=100.0)
+
+
 def lang_normalise(spark, d):
     """Language keys, the language whose rules hold and the metrics' name."""
     rows = table(spark, d, "dataset_ml_ready", "programming_language").groupBy("programming_language").agg(F.count("*").alias("n_rows"))
@@ -166,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         static_rules, indicator_scan, risk_score, findings_by_severity, fallback_metrics, file_metrics, line_slicing, audit_functions, audit_blocks, audit_files,
-        audit_batch_json, report_summary, report_detail, lang_normalise, lang_id, filename_default, php_wrap, parameters_count, label_encode, label_decode,
+        audit_batch_json, report_summary, report_detail, report_functions, report_text, lang_normalise, lang_id, filename_default, php_wrap, parameters_count, label_encode, label_decode,
         preserved_tokens, scan_projection,
     )
 } | {"code_tokens": code_token_counts}

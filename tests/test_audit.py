@@ -7,7 +7,7 @@ from siftstone.engine import Engine
 from siftstone.functions.derive import default_filename, label_id, language_key, parameter_count, php_wrapped, rough_metrics
 from siftstone.functions.dictionaries import indicators, read_families
 from siftstone.operators.audit import indicator_scan, scored, static_rules
-from siftstone.operators.report import audited, per_file, risky
+from siftstone.operators.report import audited, per_file, reports, risky
 from siftstone.operators.segment import functions_of
 
 SNIPPETS = {
@@ -128,3 +128,24 @@ def test_risky_scale(spark):
     rows = spark.createDataFrame([(0.7, None), (0.2, "CWE-79"), (0.2, "N/A"), (0.5, "Safe")], "s double, l string")
     assert [r[0] for r in rows.select(risky(F.col("s"), F.col("l"))).collect()] == [False, True, False, False]
     assert [r[0] for r in rows.select(risky(F.col("s"), F.col("l"), scale=100.0)).collect()] == [True, True, False, False]
+
+
+def test_reports_by_function(spark):
+    bad = "def a(x):\n    exec(x)\n    exec(x)\n\ndef b(y):\n    return y\n\ndef c(z):\n    pickle.load(z)\n    exec(z)\n"
+    tags = "def d():\n    select\n    insert\n\ndef e():\n    update\n    drop\n\ndef f():\n    union\n"  # 0.75 as one file, 0.3 at most as functions
+    rows = [(1, 1, "one.py", bad), (2, 1, "two.py", tags), (3, 1, None, "def a(x):\n    exec(x)\n    md5(x)\n"), (4, 2, "ok.py", "def g():\n    pass\n")]
+    files = spark.createDataFrame([(*r, "python") for r in rows], "file_id int, pr_id int, filename string, code string, programming_language string")
+    named = files.withColumn("title", F.concat(F.lit("PR "), F.col("pr_id").cast("string"))).withColumn("at", F.lit("2025-01-02 03:04:05").cast("timestamp"))
+    got = {r["pr_id"]: r for r in reports(named.drop("code"), audited(files, "file_id"), ["pr_id"], "file_id", scale=100.0).collect()}
+    assert {k: (r["n_files"], r["n_functions"], r["n_risky"]) for k, r in got.items()} == {1: (3, 7, 3), 2: (1, 1, 0)}
+    rule = "  - 🔍 *Regla:* General\n"
+    assert got[1]["report"] == (
+        "# Reporte de Seguridad - PR 1\n**Fecha:** 2025-01-02 03:04:05\n\n## Resumen\n- Total Archivos: 3\n- Total Funciones: 7\n- Hallazgos Críticos: 3\n\n--- \n"
+        "## Detalle de Vulnerabilidades\n\n"
+        f"## 📂 Archivo: one.py\n- 🔴 **a** (Líneas 1-3)\n  - **Score:** 0.95 | **IA:** Safe\n{rule * 2}- 🔴 **c** (Líneas 8-10)\n  - **Score:** 1.00 | **IA:** Safe\n{rule * 2}\n"
+        f"## 📂 Archivo: unknown\n- 🔴 **a** (Líneas 1-3)\n  - **Score:** 1.00 | **IA:** Safe\n{rule * 2}\n"
+    )
+    head = "🛡️ *Security Audit: PR {}*\n━━━━━━━━━━━━━━━━━━\nEstado: *{}*\n• Archivos: `{}`\n• Vulnerabilidades: `{}`\n"
+    assert got[1]["message"] == head.format(1, "⚠️ REVISIÓN REQUERIDA", 3, 3) + "\n👇 _Ver archivo adjunto para detalles._"
+    assert got[2]["message"] == head.format(2, "✅ APROBADO", 1, 0)
+    assert got[2]["report"].endswith("## Detalle de Vulnerabilidades\n\n🎉 Sin vulnerabilidades detectadas.")
