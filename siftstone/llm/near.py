@@ -1,15 +1,14 @@
-"""Problem 3: near-duplicates by segment popcounts, a grid range-join and an exact check.
-
-A code's fingerprint is the 2^64-bit map in which each of its runs of words sets the bit of its hash. The
-map is cut into equal segments and the bits of each segment are counted; the Manhattan distance of two count
-vectors never exceeds the number of runs in which the codes differ, and a likeness of ``t`` leaves room for at
-most (1-t)/(1+t) * (n_a + n_b) of those. Two resolutions of that embedding are used:
-
-* the finest, one bit a segment, as a unit grid: a code of ``n`` runs can miss at most ``n - ceil(t n)`` of its
-  own occupied cells in any partner, so it is posted under one cell more than that, those that a fixed-size
-  sketch of the collection calls rarest, and every partner is met in at least one. The join compares, cell by
-  cell, sizes and positions (what is left after a shared cell must still hold the needed overlap);
-* 64 coarse segments, whose counts are compared by Manhattan distance before any run is.
+"""Problem 3: near-duplicates by prefix filtering on rare run hashes, a segment bound and an exact check.
+
+This replaces a grid range-join on segment counts, whose cells are met by chance too often (see the README).
+
+* Candidates: a likeness of ``t`` lets a code of ``n`` runs miss at most ``n - ceil(t n)`` of its own runs in any partner, so it
+  is posted under one run hash (a cell) more than that, those that a fixed-size sketch of the collection calls rarest, and every
+  partner is met in at least one. The join compares, cell by cell, sizes and positions (what is left after a shared cell must
+  still hold the needed overlap);
+* bound: run hashes are counted in 64 equal segments; the Manhattan distance of two count vectors never exceeds the number of runs
+  in which the codes differ, and the likeness leaves room for at most (1-t)/(1+t) * (n_a + n_b) of those. It drops candidates, and
+  finds none.
 
 What remains is verified exactly. No step has a cap, so no pair is lost. Equal run sets are one class throughout and
 are expanded only where rows are asked for.
