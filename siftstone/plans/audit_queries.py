@@ -160,15 +160,15 @@ def label_decode(spark, d):
     return decoded(label_encode(spark, d)).groupBy("label_id", "label_name").agg(F.count("*").alias("n_rows"))
 
 
-def code_token_counts(spark, d):
+def code_token_counts(spark, d, source=blocks):
     """Surrogate tokens of each file."""
     tokens = code_tokens(F.col("code"))
-    return blocks(spark, d).select("payload_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest"))
+    return source(spark, d).select("payload_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest"))
 
 
-def preserved_tokens(spark, d):
+def preserved_tokens(spark, d, source=blocks):
     """How often each word that augmentation keeps occurs."""
-    tokens = blocks(spark, d).select(F.explode(code_tokens(F.col("code"))).alias("token"))
+    tokens = source(spark, d).select(F.explode(code_tokens(F.col("code"))).alias("token"))
     return tokens.where(preserved(F.col("token"))).groupBy(F.lower("token").alias("token")).agg(F.count("*").alias("n_uses"))
 
 

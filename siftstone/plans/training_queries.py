@@ -8,7 +8,8 @@ from siftstone.functions.derive import label_id, parameter_count
 from siftstone.functions.dictionaries import LABEL_NAMES
 from siftstone.operators import augment, evaluate, sampling, scorer, vectors, windows
 from siftstone.plans import sqlparts as S
-from siftstone.plans.audit_queries import _PARAMETERS, _TOKENS, blocks
+from siftstone.plans.audit_queries import _PARAMETERS, _TOKENS, blocks, code_token_counts, preserved_tokens
+from siftstone.plans.audit_queries import ORACLE as AUDIT_SQL
 from siftstone.plans.scratch import scratch_path
 from siftstone.sources.requests import read_cache, write_cache
 from siftstone.sources.tables import table
@@ -64,73 +65,78 @@ def batching(spark, d):
     return rows.select("sample_id", F.expr(f"place div {BATCH}").alias("batch"), (F.col("place") % BATCH).alias("slot"))
 
 
-def _tokens(spark, d, repeats=1):
-    return blocks(spark, d).select("payload_id", windows.code_tokens(F.repeat("code", F.lit(repeats)) if repeats > 1 else F.col("code")).alias("tokens"))
+def corpus(spark, d):
+    """The rows of the training corpus as blocks; null code has none."""
+    return table(spark, d, "dataset_ml_ready", "sample_id", "code").where("code is not null").withColumnRenamed("sample_id", "payload_id")
+
+
+def _tokens(spark, d, source, repeats=1):
+    return source(spark, d).select("payload_id", windows.code_tokens(F.repeat("code", F.lit(repeats)) if repeats > 1 else F.col("code")).alias("tokens"))
 
 
 def _windows(df):
     return df.select("payload_id", "window_no", "start", "n_tokens", F.md5(F.array_join("window", " ")).alias("digest"))
 
 
-def sliding_windows(spark, d):
+def sliding_windows(spark, d, source=blocks):
     """Windows of each file, training form."""
-    return _windows(windows.token_windows(_tokens(spark, d), ["payload_id"]))
+    return _windows(windows.token_windows(_tokens(spark, d, source), ["payload_id"]))
 
 
 def sliding_windows_infer(spark, d):
     """Windows of each file, inference form."""
-    return _windows(windows.token_windows(_tokens(spark, d), ["payload_id"], policy="inference"))
+    return _windows(windows.token_windows(_tokens(spark, d, blocks), ["payload_id"], policy="inference"))
 
 
-def sampled_windows(spark, d):
+def sampled_windows(spark, d, source=blocks):
     """Windows of each file's code written four times, so that many are sampled."""
-    return _windows(windows.token_windows(_tokens(spark, d, REPEATS), ["payload_id"]))
+    return _windows(windows.token_windows(_tokens(spark, d, source, REPEATS), ["payload_id"]))
 
 
-def sampled_windows_raw(spark, d):
+def sampled_windows_raw(spark, d, source=blocks):
     """Raw pieces of each file's code written twelve times."""
-    rows = windows.raw_windows(blocks(spark, d).withColumn("code", F.repeat("code", F.lit(RAW_REPEATS))), ["payload_id"])
+    rows = windows.raw_windows(source(spark, d).withColumn("code", F.repeat("code", F.lit(RAW_REPEATS))), ["payload_id"])
     return rows.select("payload_id", "window_no", "start", F.md5("chunk").alias("digest"))
 
 
-def build_window(spark, d):
+def build_window(spark, d, source=blocks):
     """Padded input of each file's first window."""
     ids = F.transform(F.slice("tokens", 1, windows.WIDTH), windows.token_id)
-    rows = _tokens(spark, d).select("payload_id", windows.built(ids).alias("w"))
+    rows = _tokens(spark, d, source).select("payload_id", windows.built(ids).alias("w"))
     return rows.select("payload_id", F.md5(F.array_join(F.transform("w.input_ids", lambda x: x.cast("string")), ",")).alias("digest"), F.aggregate("w.attention_mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n_real"))
 
 
-def ragged_offsets(spark, d):
+def ragged_offsets(spark, d, source=blocks):
     """Where each file's windows begin in its batch."""
-    counted = _tokens(spark, d).select("payload_id", windows.window_count(F.size("tokens")).cast("bigint").alias("n_windows"))
+    counted = _tokens(spark, d, source).select("payload_id", windows.window_count(F.size("tokens")).cast("bigint").alias("n_windows"))
     placed = sampling.numbered(counted, "payload_id").withColumn("batch", F.expr(f"place div {BATCH}"))
     return windows.ragged_offsets(placed, "payload_id", "batch", "n_windows").select("payload_id", "batch", "n_windows", "offset")
 
 
-def cache_roundtrip(spark, d):
+def cache_roundtrip(spark, d, source=blocks):
     """Windows written as parts and read again."""
     path = scratch_path(spark, "cache")
-    write_cache(sliding_windows(spark, d).select("payload_id", "window_no", "n_tokens"), path, 8)
+    write_cache(sliding_windows(spark, d, source).select("payload_id", "window_no", "n_tokens"), path, 8)
     return read_cache(spark, path)
 
 
-def _code(spark, d):
-    return blocks(spark, d).select("payload_id", "code")
+def _code(spark, d, source):
+    return source(spark, d).select("payload_id", "code")
 
 
-def rename_candidates(spark, d):
+def rename_candidates(spark, d, source=blocks):
     """The ten most used identifiers of each file."""
-    return augment.rename_candidates(_code(spark, d), "payload_id")
+    return augment.rename_candidates(_code(spark, d, source), "payload_id")
 
 
-def rename_map(spark, d):
+def rename_map(spark, d, source=blocks):
     """New names of the identifiers that are renamed."""
-    return augment.rename_map(_code(spark, d), "payload_id")
+    return augment.rename_map(_code(spark, d, source), "payload_id")
 
 
-def augmented(spark, d):
+def augmented(spark, d, source=blocks):
     """Augmented code of each file."""
-    return augment.augmented(_code(spark, d), "payload_id").select("payload_id", "changed", F.md5("code").alias("digest"))
+    return augment.augmented(_code(spark, d, source), "payload_id").select("payload_id", "changed", F.md5("code").alias("digest"))
 
 
 def _vectors(spark, d):
@@ -234,6 +240,20 @@ QUERIES = {
     )
 } | {"augment": augmented}
 
+#: Training forms that run over the training corpus too, as ``corpus_...`` with its ``sample_id``.
+ON_CORPUS = {
+    "sliding_windows": sliding_windows, "sampled_windows": sampled_windows, "sampled_windows_raw": sampled_windows_raw, "build_window": build_window,
+    "ragged_offsets": ragged_offsets, "cache_roundtrip": cache_roundtrip, "rename_candidates": rename_candidates, "rename_map": rename_map, "augment": augmented,
+    "code_tokens": code_token_counts, "preserved_tokens": preserved_tokens,
+}
+
+
+def _on_corpus(query):
+    return lambda spark, d: query(spark, d, corpus).withColumnRenamed("payload_id", "sample_id")
+
+
+QUERIES |= {f"corpus_{name}": _on_corpus(query) for name, query in ON_CORPUS.items()}
+
 _LABELLED = f"labelled as (select sample_id, ({S.LABEL_ID})::bigint as label_id from dataset_ml_ready)"
 _RANK = "row_number() over (partition by label_id order by md5('42:' || sample_id), sample_id)"
 _PLACE = "select sample_id, row_number() over (order by md5('42:' || sample_id), sample_id) - 1 as place, count(*) over () as n from dataset_ml_ready"
@@ -352,3 +372,12 @@ f as (
   from f join e on e.user_id = f.user_id and e.k = f.k + 1)
 select user_id, best, best_at as best_epoch, stop as stopped_at from f where k = (select max(k) from e where e.user_id = f.user_id)""",
 }
+
+
+def _corpus_sql(name: str) -> str:
+    """The SQL of a query on the audit requests, its blocks taken from the corpus."""
+    sql = (AUDIT_SQL | ORACLE)[name].replace(S.BLOCKS, "blocks as (select sample_id as payload_id, code from dataset_ml_ready where code is not null)")
+    return sql if name == "preserved_tokens" else f"select payload_id as sample_id, * exclude (payload_id) from ({sql})"
+
+
+ORACLE |= {f"corpus_{name}": _corpus_sql(name) for name in ON_CORPUS}

@@ -150,3 +150,14 @@ def test_report(spark):
     assert one["accuracy"] == 0.5 and one["macro_f1"] == pytest.approx((2 / 3 + 0.5 + 0) / 3)
     labels = {r["label"]: r for r in evaluate.full_report(counts).collect()}
     assert labels["2"]["precision"] == 0.0 and labels["macro"]["support"] == 4 and labels["weighted"]["recall"] == pytest.approx(0.5)
+
+
+def test_training_forms_cover_the_corpus(spark, tmp_path):
+    from siftstone.plans.training_queries import ON_CORPUS, QUERIES
+
+    rows = [(i, f"select name{i} from users where alpha_{i} " * (i + 1)) for i in range(6)] + [(6, None)]
+    spark.createDataFrame(rows, "sample_id bigint, code string").write.parquet(str(tmp_path / "dataset_ml_ready.parquet"))
+    for name in ("sliding_windows", "build_window", "ragged_offsets", "augment", "code_tokens", "cache_roundtrip"):
+        got = QUERIES[f"corpus_{name}"](spark, str(tmp_path))
+        assert {r["sample_id"] for r in got.select("sample_id").collect()} == set(range(6)), name
+    assert {f"corpus_{name}" for name in ON_CORPUS} <= set(QUERIES)
