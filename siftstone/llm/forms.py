@@ -81,9 +81,12 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_records(spark, sf_dir: str) -> DataFrame:
-    """One row per form: the kept identifier and the number of copies."""
-    two, one = collapse(_forms(spark, sf_dir))
-    return two.unionByName(one).select("kept_id", "n_copies")
+    """One row per form: the kept identifier and the number of copies. A row without a form is a record of its own."""
+    rows = table(spark, sf_dir, "dataset_ml_ready", "sample_id", "code")
+    read = materialise(rows.select(F.col("sample_id").alias("id"), form_key(F.col("code")).alias("key")), "keyed")
+    two, one = collapse(read.where("key is not null"))
+    formless = read.where("key is null").select(F.col("id").alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies"))
+    return two.unionByName(one).select("kept_id", "n_copies").unionByName(formless)
 
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records}

@@ -245,8 +245,12 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark, sf_dir: str) -> DataFrame:
-    """Each row with its class, its group and its class's number of links."""
-    return groups(_runs(spark, sf_dir)).withColumnRenamed("id", "sample_id")
+    """Each row with its class, its group and its class's number of links. A row without words is a class of its own."""
+    runs = _runs(spark, sf_dir)
+    ids = table(spark, sf_dir, "dataset_ml_ready", "sample_id")
+    wordless = ids.join(runs.select("id"), F.col("sample_id").eqNullSafe(F.col("id")), "left_anti")
+    alone = wordless.select("sample_id", F.col("sample_id").alias("class_id"), F.col("sample_id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return groups(runs).withColumnRenamed("id", "sample_id").unionByName(alone)
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}

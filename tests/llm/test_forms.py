@@ -37,3 +37,11 @@ def test_hot_keys_are_found_exactly(spark):
     keyed = spark.range(8000).select("id", F.when(F.col("id") % 3 == 0, F.lit(b"hot")).otherwise(F.col("id").cast("string").cast("binary")).alias("key"))
     assert [bytes(r[0]) for r in hot_keys(keyed, 16).collect()] == [b"hot"]
     assert hot_keys(keyed.where("id % 3 > 0"), 16).count() == 0
+
+
+def test_rows_without_a_form_are_records(spark, tmp_path):
+    from siftstone.llm.forms import p2_records
+
+    rows = [(1, "a b c d"), (2, "A b c d"), (3, None), (4, ""), (5, " ; "), (6, "x y z")]
+    spark.createDataFrame(rows, "sample_id bigint, code string").write.parquet(str(tmp_path / "dataset_ml_ready.parquet"))
+    assert sorted(tuple(r) for r in p2_records(spark, str(tmp_path)).select("kept_id", "n_copies").collect()) == [(1, 2), (3, 1), (4, 1), (5, 1), (6, 1)]

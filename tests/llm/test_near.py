@@ -93,3 +93,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 150)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
+
+
+def test_rows_without_words_are_classes(spark, tmp_path):
+    from siftstone.llm.near import p3_groups
+
+    rows = [(1, "a b c d"), (2, "A b c d"), (3, None), (4, ""), (5, " ; "), (6, "x y z")]
+    spark.createDataFrame(rows, "sample_id bigint, code string").write.parquet(str(tmp_path / "dataset_ml_ready.parquet"))
+    got = sorted(tuple(r) for r in p3_groups(spark, str(tmp_path)).select("sample_id", "class_id", "group_id", "n_links").collect())
+    assert got == [(1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 3, 0), (4, 4, 4, 0), (5, 5, 5, 0), (6, 6, 6, 0)]
