@@ -30,14 +30,19 @@ def audited(files: DataFrame, id_column: str) -> DataFrame:
     return measured.select(id_column, "function_name", "start_line", "end_line", "lang", "code", "risk_score", "tags", features.alias("features"), "findings")
 
 
-def per_file(blocks: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """(id, total_functions, functions): a file's functions in order of their first line."""
+def per_file(blocks: DataFrame, id_column: str, *columns: str, files: DataFrame | None = None) -> DataFrame:
+    """(id, total_functions, functions): a file's functions in order of their first line; none for those of ``files`` without blocks."""
     keep = columns or ("function_name", "start_line", "end_line", "risk_score", "tags", "features", "findings")
     order = ["start_line", "end_line", "function_name"]
     entry = F.struct(*order, *[c for c in keep if c not in order])
     place = lambda e: F.struct(*[e[c].alias(c) for c in order])  # noqa: E731 predictions hold maps, which have no order
     first = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
-    return blocks.groupBy(id_column).agg(F.count("*").alias("total_functions"), F.array_sort(F.collect_list(entry), first).alias("functions"))
+    found = blocks.groupBy(id_column).agg(F.count("*").alias("total_functions"), F.array_sort(F.collect_list(entry), first).alias("functions"))
+    if files is None:
+        return found
+    none = F.array().cast(found.schema["functions"].dataType)
+    joined = files.select(id_column).join(found, id_column, "left")
+    return joined.select(id_column, F.coalesce("total_functions", F.lit(0)).alias("total_functions"), F.coalesce("functions", none).alias("functions"))
 
 
 def risky(score: Column, label: Column, limit: float = 60.0, scale: float = 1.0) -> Column:

@@ -8,14 +8,14 @@ all that follows is column expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.derive import language_key
+from siftstone.functions.derive import language_key, php_wrapped, rough_metrics
 
 _LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
 _PY_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(")
@@ -185,3 +185,44 @@ def functions(files: DataFrame, id_column: str, language: str = "programming_lan
     names = ["id", "lang", *[c.split()[0] for c in _SCHEMA.split(", ")]]
     dtypes = {c: "Int64" for c in ("start_line", "end_line", "nloc", "token_count", "parameters_count", "top_nesting_level")}
     return picked.mapInPandas(run, f"id {kind}, lang string, {_SCHEMA}").withColumnRenamed("id", id_column)
+
+
+def measures_of(code: str, language: str) -> tuple[int, float, int, int, int]:
+    """(nloc, mean complexity, tokens, parameters, deepest nesting) of a file; complexity 1 where it has no function."""
+    text, found = _LINE_END.sub("\n", code), functions_of(code, language)
+    clean = _blanked(text, _PY_SKIP if language in ("python", "py", "ruby", "rb") else _SKIP)
+    complexity = sum(f.complexity for f in found) / len(found) if found else 1.0
+    nloc = sum(1 for x in clean.split("\n") if x.strip())
+    return nloc, complexity, len(_TOKEN.findall(text)), sum(f.parameters for f in found), max((f.nesting for f in found), default=0)
+
+
+def file_metrics(files: DataFrame, id_column: str, measure: Callable[[str, str], tuple] = measures_of) -> DataFrame:
+    """(id, nloc, complexity, token_count, parameters_count, top_nesting_level, method): each file parsed, PHP between tags.
+
+    Rough metrics, without parameters and nesting, where ``measure`` fails or finds more than 10 lines and complexity 0. Null code has no row.
+    """
+    kind, lang = files.schema[id_column].dataType.simpleString(), language_key(F.col("programming_language"))
+    picked = files.where("code is not null").select(F.col(id_column).alias("id"), lang.alias("lang"), php_wrapped(F.col("code"), lang).alias("code"))
+    measured = "nloc bigint, complexity double, token_count bigint, parameters_count bigint, top_nesting_level bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, language, text in zip(batch["id"], batch["lang"], batch["code"]):
+                try:
+                    got = measure(text, language)
+                    if got[0] > 10 and got[1] == 0:
+                        raise ValueError("no complexity")
+                    rows.append((key, *got, None))
+                except Exception:  # one file's failure must not be the job's
+                    rows.append((key, None, None, None, None, None, text))
+            yield pd.DataFrame(rows, columns=names).astype(dtypes)
+
+    names = ["id", *[c.split()[0] for c in measured.split(", ")], "code"]
+    dtypes = {c: "Int64" for c in ("nloc", "token_count", "parameters_count", "top_nesting_level")}
+    rows = picked.mapInPandas(run, f"id {kind}, {measured}, code string").withColumn("r", F.when(F.col("code").isNotNull(), rough_metrics(F.col("code"))))
+    return rows.select(
+        F.col("id").alias(id_column), F.coalesce("nloc", "r.nloc").alias("nloc"), F.coalesce("complexity", F.col("r.complexity").cast("double")).alias("complexity"),
+        F.coalesce("token_count", "r.token_count").alias("token_count"), F.coalesce("parameters_count", F.lit(0)).alias("parameters_count"),
+        F.coalesce("top_nesting_level", F.lit(0)).alias("top_nesting_level"), F.when(F.col("code").isNull(), "parser").otherwise("rough").alias("method"),
+    )

@@ -9,7 +9,7 @@ from siftstone.functions.derive import (
     default_filename, label_id, language_id, language_key, metric_language, parameter_count, php_wrapped, rough_metrics, rule_language,
 )
 from siftstone.functions.text import split_lines
-from siftstone.operators import audit, report
+from siftstone.operators import audit, report, segment
 from siftstone.operators.augment import preserved
 from siftstone.operators.sampling import decoded
 from siftstone.operators.windows import code_tokens
@@ -53,7 +53,7 @@ def fallback_metrics(spark, d):
 
 
 def file_metrics(spark, d):
-    """Mean complexity, parameters and deepest nesting of the mined functions of a file."""
+    """Mean complexity, parameters and deepest nesting of the mined functions of a file; of parsed files: ``file_metrics_parsed``."""
     rows = table(spark, d, "method_change", "file_change_id", "complexity", "parameters", "top_nesting_level")
     return rows.groupBy("file_change_id").agg(
         F.count("*").alias("n_functions"),
@@ -63,6 +63,11 @@ def file_metrics(spark, d):
     )
 
 
+def file_metrics_parsed(spark, d):
+    """Metrics of each file by parsing it, rough ones where that fails."""
+    return segment.file_metrics(table(spark, d, "code_payload", "payload_id", "programming_language", "code"), "payload_id")
+
+
 def line_slicing(spark, d):
     """Lines 2 to 6 of each file, and how many lines it has."""
     lines = split_lines(F.col("code"))
@@ -85,7 +90,8 @@ def audit_blocks(spark, d):
 
 def audit_files(spark, d):
     """Per file: number and list of its functions."""
-    return report.per_file(audit_functions(spark, d), "payload_id")
+    files = table(spark, d, "code_payload", "payload_id", "code").where("code is not null")
+    return report.per_file(audit_functions(spark, d), "payload_id", files=files)
 
 
 def audit_batch_json(spark, d):
@@ -180,7 +186,7 @@ def scan_projection(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        static_rules, indicator_scan, risk_score, findings_by_severity, fallback_metrics, file_metrics, line_slicing, audit_functions, audit_blocks, audit_files,
+        static_rules, indicator_scan, risk_score, findings_by_severity, fallback_metrics, file_metrics, file_metrics_parsed, line_slicing, audit_functions, audit_blocks, audit_files,
         audit_batch_json, report_summary, report_detail, report_functions, report_text, lang_normalise, lang_id, filename_default, php_wrap, parameters_count, label_encode, label_decode,
         preserved_tokens, scan_projection,
     )

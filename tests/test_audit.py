@@ -149,3 +149,27 @@ def test_reports_by_function(spark):
     assert got[1]["message"] == head.format(1, "⚠️ REVISIÓN REQUERIDA", 3, 3) + "\n👇 _Ver archivo adjunto para detalles._"
     assert got[2]["message"] == head.format(2, "✅ APROBADO", 1, 0)
     assert got[2]["report"].endswith("## Detalle de Vulnerabilidades\n\n🎉 Sin vulnerabilidades detectadas.")
+
+
+def test_file_metrics_are_parsed(spark):
+    from siftstone.operators import segment
+
+    rows = [(1, "python", PYTHON), (2, "Java", JAVA), (3, "python", "exec(x)\n"), (4, "c", None), (5, "c", "bad if\n"), (6, "c", "if\n" * 11)]
+    files = spark.createDataFrame(rows, "file_id int, programming_language string, code string")
+
+    def measure(code, language):
+        if code.startswith("bad"):
+            raise RecursionError
+        return (11, 0.0, 11, 0, 0) if code.startswith("if") else segment.measures_of(code, language)
+
+    got = {r["file_id"]: tuple(r)[1:] for r in segment.file_metrics(files, "file_id", measure).collect()}
+    assert set(got) == {1, 2, 3, 5, 6}
+    assert {k: (got[k][1], *got[k][3:]) for k in (1, 2, 3)} == {1: (2.0, 3, 1, "parser"), 2: (1.5, 2, 1, "parser"), 3: (1.0, 0, 0, "parser")}
+    assert got[1][0] == 8 and got[3] == (1, 1.0, 4, 0, 0, "parser")
+    assert (got[5], got[6]) == ((1, 2.0, 2, 0, 0, "rough"), (11, 12.0, 11, 0, 0, "rough"))
+
+
+def test_file_without_functions_keeps_its_row(spark):
+    files = spark.createDataFrame([(1, "python", PYTHON), (2, "python", "x")], "file_id int, programming_language string, code string")
+    got = per_file(audited(files, "file_id").where("file_id = 1"), "file_id", files=files).collect()  # as if the second could not be parsed
+    assert {r["file_id"]: (r["total_functions"], len(r["functions"])) for r in got} == {1: (2, 2), 2: (0, 0)}
