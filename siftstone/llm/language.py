@@ -38,8 +38,6 @@ LANGUAGES = tuple(NAMES)
 _NAMED = {n: lang for lang, names in NAMES.items() for n in names}
 #: Labelled texts the trees are fitted on at most, the first in hashed order.
 SAMPLE_ROWS = 3000
-#: Different words per language the trees are fitted on at most, the most frequent.
-SAMPLE_WORDS = 50_000
 ORDER = 4
 ROUNDS = 2
 #: Words whose costs a worker keeps before it starts anew.
@@ -87,7 +85,7 @@ class Trees:
     @staticmethod
     def _fit(words: Counter) -> dict[bytes, dict[int, int]]:
         nodes: dict[bytes, dict[int, int]] = {}
-        for word, n in words.most_common(SAMPLE_WORDS):
+        for word, n in words.items():
             plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
             for form, times in ((word, n), *([(plain, -(-n // 4))] if plain != word else [])):
                 data = b" " + form.encode("utf-8", "surrogatepass") + b" "
@@ -138,6 +136,7 @@ class Coder:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.used = 0
         self.costs, self.letters = np.zeros((1024, len(LANGUAGES))), np.zeros(1024)
 
     def _add(self, token: str) -> int:
@@ -145,8 +144,8 @@ class Coder:
         if word is None:
             self.number[token] = -1
             return -1
-        k = self.used = getattr(self, "used", 0) if self.number else 0
-        if k >= len(self.letters):
+        k = self.used
+        while k >= len(self.letters):
             self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         self.costs[k], self.letters[k] = self.trees.cost(word), len(word)

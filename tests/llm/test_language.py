@@ -88,3 +88,21 @@ def test_no_labels(spark):
     trees = fit(sample_of(df, "id", "text", "lang"))
     assert identify(df, trees, "id", "text", "lang").count() == 2
     assert identify(df.limit(0), trees, "id", "text", "lang").count() == 0
+
+
+def test_store_may_be_emptied_at_any_word(trees, monkeypatch):
+    from siftstone.llm import language
+
+    monkeypatch.setattr(language, "STORE", 50)
+    words = [a + b for a in "abcdefghij" for b in ("ein", "der", "the", "los", "une")]
+    texts = [f"{first} " + " ".join(words[k : k + 40]) for k in range(0, 50, 5) for first in ("7", "`x`", "snake_case", "Wort")]
+    small = Coder(trees)
+    for size in (1, 3, 40):
+        for k in range(0, len(texts), size):
+            bits, letters = small.sentences(texts[k : k + size])
+            want_bits, want_letters = Coder(trees).sentences(texts[k : k + size])
+            assert bits == pytest.approx(want_bits) and letters.tolist() == want_letters.tolist()
+    many = " ".join(f"{a}{b}{c}" for a in "abcdefghijklm" for b in "abcdefghijklm" for c in "abcdefghijklmnop")
+    small.sentences([many])
+    bits, letters = small.sentences(["12 " + many])
+    assert letters[0] == 3 * 13 * 13 * 16
