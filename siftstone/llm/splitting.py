@@ -3,7 +3,8 @@
 Boundaries are line starts, ranked by what they part: functions (nothing open, no indentation), blocks (a blank line
 before, a closing line before, or less indentation than before) or just lines. Within long lines any 16th token is a
 boundary of last resort. Dynamic programming over the boundaries minimises penalties plus the squared room left in
-each piece, under the limit of tokens.
+each piece, under the limit of tokens. Costs are whole numbers, so equal ones are equal; of several best programs that with the
+longest last piece is taken, then the longest before it, and so on.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ from siftstone.sources.tables import table
 TOKEN = re.compile(r"\w+|[^\w\s]|[\x1c-\x1f]")
 LIMIT = 510
 OVERLAP = 64
-#: Penalties of a cut between functions, blocks, lines, and within a line.
-PENALTIES = (0.0, 0.3, 1.0, 1000.0)
+#: Penalties of a cut between functions, blocks, lines, and within a line, in tenths of the cost of a piece.
+PENALTIES = (0, 3, 10, 10_000)
 _STRIDE = 16
-#: Boundaries up to which the program runs on whole matrices.
-_MATRIX = 300
 
 
 def boundaries(code: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +49,7 @@ def boundaries(code: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         closing = chars[starts[first - 1]] == 125
     else:
         blank = closing = np.zeros(0, bool)
-    penalty = np.full(len(first), PENALTIES[2])
+    penalty = np.full(len(first), PENALTIES[2], np.int64)
     penalty[blank | closing | (indent[first] < before)] = PENALTIES[1]
     penalty[(indent[first] == 0) & (depth[starts[first]] == 0) & (chars[starts[first]] != 125)] = PENALTIES[0]
     edges = np.concatenate([[0], first, [n]])
@@ -58,7 +57,7 @@ def boundaries(code: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(long):
         inner = np.concatenate([np.arange(edges[k] + _STRIDE, edges[k + 1], _STRIDE) for k in long])
         first = np.concatenate([first, inner])
-        penalty = np.concatenate([penalty, np.full(len(inner), PENALTIES[3])])
+        penalty = np.concatenate([penalty, np.full(len(inner), PENALTIES[3], np.int64)])
         order = np.argsort(first, kind="stable")
         first, penalty = first[order], penalty[order]
     return first, penalty
@@ -70,32 +69,17 @@ def cuts(n: int, at: np.ndarray, penalty: np.ndarray, limit: int = LIMIT, overla
         return []
     usable = at >= overlap  # the first piece must supply a whole overlap
     points = np.concatenate([[0], at[usable], [n]])
-    cost = np.concatenate([[0.0], penalty[usable], [0.0]])
+    cost = np.concatenate([[0], penalty[usable], [0]]).astype(np.int64) * limit**2
     m = len(points)
-    best, source = np.full(m, np.inf), np.zeros(m, np.int64)
-    best[0] = 0.0
-    extra = np.where(points == 0, 0, overlap)
-    if m <= _MATRIX:
-        size = points[None, :] - points[:, None] + extra[:, None]
-        step = np.where((points[None, :] > points[:, None]) & (size <= limit), 1 + ((limit - size) / limit) ** 2 + cost[None, :], np.inf)
-        while True:
-            total = best[:, None] + step
-            source_now = total.argmin(axis=0)
-            now = total[source_now, np.arange(m)]
-            better = now < best - 1e-12
-            if not better.any():
-                break
-            best[better], source[better] = now[better], source_now[better]
-    else:
-        low = 0
-        for j in range(1, m):
-            while points[j] - points[low] + extra[low] > limit:
-                low += 1
-            size = points[j] - points[low:j] + extra[low:j]
-            total = best[low:j] + ((limit - size) / limit) ** 2
-            if low < j:
-                k = int(total.argmin())
-                best[j], source[j] = total[k] + 1 + cost[j], low + k
+    best, source = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    begin = np.maximum(points - overlap, 0)
+    begin[0] = 0  # where a piece that follows a cut begins
+    lows = np.searchsorted(begin, points - limit)  # the first cut from which a piece still reaches each point
+    for j in range(1, m):
+        low = lows[j]
+        total = best[low:j] + 10 * (limit - points[j] + begin[low:j]) ** 2
+        k = int(total.argmin())  # the first of equal ones
+        best[j], source[j] = total[k] + 10 * limit**2 + cost[j], low + k
     out, j = [], int(source[m - 1])
     while j:
         out.append(int(points[j]))

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from siftstone.llm.splitting import LIMIT, OVERLAP, TOKEN, boundaries, cuts, pieces_of, split_oversized
@@ -55,49 +57,58 @@ def test_very_long_line():
     check("word+" * 60_000)
 
 
-def test_cuts_are_optimal():
-    from itertools import combinations
+def best_by_hand(n, at, penalty, limit, overlap):
+    """The best cuts by trying all, ties for the longest last piece, then the longest before it."""
+    points = {0: 0, **{a: p for a, p in zip(at, penalty) if a >= overlap}, n: 0}
+    memo = {0: (0, [])}
+    for j in sorted(points)[1:]:
+        options = []
+        for i in sorted(points):
+            size = j - i + (overlap if i else 0)
+            if i < j and size <= limit and i in memo:
+                options.append((memo[i][0] + 10 * limit**2 + 10 * (limit - size) ** 2 + points[j] * limit**2, i))
+        if options:
+            cost, i = min(options)
+            memo[j] = (cost, memo[i][1] + [i])
+    return [c for c in memo[n][1] if c]
+
 
+def test_cuts_are_optimal():
     r = random.Random(3)
     for _ in range(60):
         n, limit, overlap = r.randrange(21, 60), 20, 4
         at = sorted({*r.sample(range(1, n), min(n - 1, r.randrange(8, 13))), *range(8, n, 10)})
-        penalty = [r.choice([0.0, 0.3, 1.0]) for _ in at]
-        import numpy as np
+        penalty = [r.choice([0, 3, 10]) for _ in at]
 
         def cost(chosen):
             edges = [0, *[at[k] for k in chosen], n]
             if chosen and edges[1] < overlap:
                 return None
-            total = 0.0
+            total = 0
             for a, b in zip(edges, edges[1:]):
                 size = b - a + (overlap if a else 0)
                 if size > limit:
                     return None
-                total += 1 + ((limit - size) / limit) ** 2
-            return total + sum(penalty[k] for k in chosen)
+                total += 10 * limit**2 + 10 * (limit - size) ** 2
+            return total + sum(penalty[k] for k in chosen) * limit**2
 
         every = [c for m in range(1, 7) for chosen in combinations(range(len(at)), m) if (c := cost(chosen)) is not None]
         got = cuts(n, np.array(at), np.array(penalty), limit, overlap)
         if every and len(got) <= 6:
-            assert cost([at.index(c) for c in got]) == pytest.approx(min(every))
-
-
-def test_large_and_small_programs_agree():
-    import numpy as np
+            assert cost([at.index(c) for c in got]) == min(every)
 
-    from siftstone.llm import splitting
 
+def test_ties_are_broken_alike_at_every_size():
     r = random.Random(5)
-    code = "".join(function(r, f"f{i}", r.randrange(3, 25)) for i in range(30))
+    for k in range(120):
+        n, limit, overlap = r.choice([60, 700, 4000]), 50, 6
+        at = sorted({*range(6, n, r.choice([3, 7, 10])), *r.sample(range(1, n), 9)})
+        penalty = [r.choice([0, 0, 3, 10]) for _ in at]
+        assert cuts(n, np.array(at), np.array(penalty), limit, overlap) == best_by_hand(n, at, penalty, limit, overlap), k
+    code = "".join(function(r, f"f{i}", r.randrange(3, 25)) for i in range(40))
     starts = np.array([m.start() for m in TOKEN.finditer(code)])
     at, penalty = boundaries(code, starts)
-    whole = cuts(len(starts), at, penalty)
-    old, splitting._MATRIX = splitting._MATRIX, 0
-    try:
-        assert cuts(len(starts), at, penalty) == whole
-    finally:
-        splitting._MATRIX = old
+    assert cuts(len(starts), at, penalty) == best_by_hand(len(starts), at.tolist(), penalty.tolist(), LIMIT, OVERLAP)
 
 
 def test_table(spark):
