@@ -3,24 +3,33 @@
 The categories form a tree (root, first column, second column, ...). Quotas are handed down from the
 root: at each node the quota is split over the children in proportion to their targets, never above what
 a child holds and never below its guaranteed minimum. What a leaf cannot supply therefore goes to its
-siblings first and leaves the branch, to the cousins, only when the whole branch is exhausted. At the leaves
-rows are drawn by the rank of a permuted (hashed) identifier.
+siblings first and leaves the branch, to the cousins, only when the whole branch is exhausted. Each leaf is told what it owes
+on the way down; what it cannot honour is its unmet quota, which the report gives. At the leaves rows are drawn by the
+rank of a permuted (hashed) identifier.
+
+Up to ``MAX_STRATA`` strata the tree is walked on the driver. Beyond, the driver splits the root's quota only and each branch is
+walked in a task of its own, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from siftstone.functions.readings import weakness_label, with_language
 from siftstone.llm.prefix import range_count, range_of
+from siftstone.plans.dims import sized
 from siftstone.plans.scratch import materialise
 from siftstone.sources.tables import table
 
-#: Strata up to which the allocation is solved on the driver.
+#: Strata up to which the whole allocation is solved on the driver.
 MAX_STRATA = 100_000
 #: Labels with strata of their own; all else, no label included, is Other. Fixed values.
 TARGET_LABELS = ("Safe", "CWE-79", "CWE-89", "CWE-78", "CWE-22", "CWE-434", "CWE-352")
@@ -67,54 +76,88 @@ def _split(quota: int, children: list[tuple[int, int, int]]) -> list[int]:
     return given
 
 
-def allocate(leaves: dict[tuple, tuple[int, int, int]], size: int) -> dict[tuple, int]:
-    """Rows to draw from each leaf, ``leaves`` mapping a path to (weight, minimum, available rows)."""
+class Leaf(NamedTuple):
+    """A stratum: its weight, guaranteed minimum, rows in stock, and rows it owes."""
+
+    weight: int
+    floor: int
+    stock: int
+    owed: int = 0
+
+    @property
+    def sums(self) -> tuple[int, int, int]:
+        """Weight, minimum that can be kept, and stock that may be drawn."""
+        return self.weight, min(self.floor, self.stock), self.stock if self.weight or self.floor else 0
+
+
+class Share(NamedTuple):
+    """Rows drawn from a stratum, and the quota it could not meet."""
 
-    def descend(prefix: tuple, paths: list[tuple], quota: int) -> dict[tuple, int]:
-        depth = len(prefix)
+    drawn: int
+    unmet: int
+
+
+def allocate(leaves: dict[tuple, Leaf], size: int) -> dict[tuple, Share]:
+    """What each leaf gives, ``leaves`` mapping a path to its stratum."""
+
+    def descend(depth: int, paths: list[tuple], quota: int) -> dict[tuple, Share]:
         if len(paths) == 1 and len(paths[0]) == depth:
-            return {paths[0]: min(quota, leaves[paths[0]][2])}
+            leaf = leaves[paths[0]]
+            return {paths[0]: Share(min(quota, leaf.stock), max(0, leaf.owed - leaf.stock))}
         groups: dict[tuple, list[tuple]] = {}
         for p in paths:
             groups.setdefault(p[: depth + 1], []).append(p)
         names = sorted(groups, key=str)
-        sums = [
-            (
-                sum(leaves[p][0] for p in groups[g]),
-                sum(min(leaves[p][1], leaves[p][2]) for p in groups[g]),
-                sum(leaves[p][2] for p in groups[g] if leaves[p][0] or leaves[p][1]),
-            )
-            for g in names
-        ]
-        out: dict[tuple, int] = {}
+        sums = [tuple(map(sum, zip(*(leaves[p].sums for p in groups[g])))) for g in names]
+        out: dict[tuple, Share] = {}
         for g, q in zip(names, _split(quota, sums)):
-            out |= descend(g, groups[g], q)
+            out |= descend(depth + 1, groups[g], q)
         return out
 
-    return descend((), list(leaves), size) if leaves else {}
+    return descend(0, list(leaves), size) if leaves else {}
 
 
-def stratum_report(rows: DataFrame, targets: DataFrame, strata: Sequence[str], share: str, minimum: str, size: int) -> DataFrame:
-    """One row per target stratum: required, available and allocated rows.
+def stratum_report(rows: DataFrame, targets: DataFrame, strata: Sequence[str], share: str, minimum: str, size: int, on_driver: int = MAX_STRATA) -> DataFrame:
+    """One row per target stratum: required, available and allocated rows, and the missing ones, its unmet quota.
 
     ``rows`` holds the strata columns only. ``required`` is max(ceil(share * size / 10000), minimum) in exact integers.
-    A stratum of ``targets`` given twice, or with a null name, is an error of the caller and counts as given;
-    null share or minimum is 0. An empty ``rows`` leaves every stratum at 0 available.
+    A stratum of ``targets`` given twice counts once, with its larger share and minimum; a null name is a stratum without rows;
+    null share or minimum is 0. An empty ``rows`` leaves every stratum at 0 available. Above ``on_driver`` strata the branches of the
+    tree are walked in tasks, one branch in one.
     """
     spark, keys = rows.sparkSession, list(strata)
-    wanted = targets.select(*keys, F.coalesce(F.col(share), F.lit(0)).cast("bigint").alias("__w"), F.coalesce(F.col(minimum), F.lit(0)).cast("bigint").alias("__m"))
+    numbers = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(a) for c, a in ((share, "__w"), (minimum, "__m"))]
+    wanted = targets.select(*keys, *numbers).groupBy(*keys).agg(F.max("__w").alias("__w"), F.max("__m").alias("__m"))
     held = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    joined = wanted.join(held, keys, "left").limit(MAX_STRATA + 1).collect()
-    if len(joined) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    leaves = {tuple(r[k] for k in keys): (r["__w"], r["__m"], r["__n"] or 0) for r in joined}
-    drawn = allocate(leaves, size)
-    out = []
-    for path, (w, m, n) in leaves.items():
-        need = max(-(-w * size // 10000), m)
-        out.append((*path, w, m, need, n, drawn[path], max(0, need - n)))
+    joined = materialise(wanted.join(held, keys, "left").select(*keys, "__w", "__m", F.coalesce("__n", F.lit(0)).alias("__n")), "stocks")
     kinds = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
-    return spark.createDataFrame(out, f"{kinds}, target_bp bigint, min_rows bigint, required bigint, available bigint, allocated bigint, missing bigint")
+    schema = f"{kinds}, target_bp bigint, min_rows bigint, required bigint, available bigint, allocated bigint, missing bigint"
+
+    def solved(found: Iterable, quota: int, under: int = 0) -> list[tuple]:
+        """Report rows of the strata below the first ``under`` names, which all rows of ``found`` share."""
+        rows = [tuple(r) for r in found]
+        leaves = {r[under:-3]: Leaf(*r[-3:], max(-(-r[-3] * size // 10000), r[-2])) for r in rows}
+        return [(*rows[0][:under], *p, *leaves[p][:2], leaves[p].owed, leaves[p].stock, *got) for p, got in allocate(leaves, quota).items()]
+
+    few = joined.limit(on_driver + 1).collect()
+    if len(few) <= on_driver:
+        return spark.createDataFrame(solved(few, size), schema)
+    top, kind = keys[0], targets.schema[keys[0]].dataType.simpleString()
+    room = F.when((F.col("__w") > 0) | (F.col("__m") > 0), F.col("__n")).otherwise(0)
+    branches = joined.groupBy(top).agg(F.sum("__w").alias("w"), F.sum(F.least("__m", "__n")).alias("f"), F.sum(room).alias("c"))
+    branches = sorted(branches.collect(), key=lambda r: str((r[0],)))  # one row a value of the first column
+    quotas = spark.createDataFrame([(r[0], q) for r, q in zip(branches, _split(size, [(r["w"], r["f"], r["c"]) for r in branches]))], f"__top {kind}, __q bigint")
+    whole = joined.join(sized(quotas), joined[top].eqNullSafe(F.col("__top"))).select(*keys, "__w", "__m", "__n", "__q")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        for (_, quota), branch in groupby(every, key=lambda r: (r[0], r[-1])):
+            rows = solved([r[:-1] for r in branch], quota, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    types = [to_arrow_type(f.dataType) for f in targets.select(*keys).schema] + [pa.int64()] * 6
+    names = [*keys, "target_bp", "min_rows", "required", "available", "allocated", "missing"]
+    return materialise(whole.repartition(F.col(top)).sortWithinPartitions(top).mapInArrow(walk, schema), "report")
 
 
 def draw(rows: DataFrame, report: DataFrame, strata: Sequence[str], id_column: str, seed: int = 42) -> DataFrame:
@@ -133,11 +176,12 @@ def draw(rows: DataFrame, report: DataFrame, strata: Sequence[str], id_column: s
     starts = (
         hashed.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
         .withColumn("__start", F.sum("__c").over(w) - F.col("__c"))
-        .join(F.broadcast(quota), keys)
+        .join(sized(quota), keys)
         .where(F.col("__start") < F.col("__q"))
         .drop("__c")
-    )  # at most MOST_RANGES rows a stratum
-    ranked = hashed.join(F.broadcast(starts), [*keys, "__b"]).withColumn(
+    )
+    starts = materialise(starts, "starts")  # up to MOST_RANGES rows a stratum: joined by shuffle where they are many
+    ranked = hashed.join(sized(starts), [*keys, "__b"]).withColumn(
         "draw_rank", F.col("__start") + F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", id_column))
     )
     return ranked.where(F.col("draw_rank") <= F.col("__q")).drop("__h", "__b", "__start", "__q")

@@ -4,25 +4,34 @@ import random
 
 import pytest
 
-from siftstone.llm.sampling import allocate, draw, stratum_report
+from siftstone.llm.sampling import Leaf, Share, allocate, draw, stratum_report
 
 REPORT = "cwe_label string, programming_language string, target_bp int, min_rows int"
 
 
+def drawn(leaves, size):
+    return {p: got.drawn for p, got in allocate({p: Leaf(*v) for p, v in leaves.items()}, size).items()}
+
+
 def test_unmet_quota_goes_to_siblings_then_cousins():
     leaves = {("a", "x"): (50, 0, 10), ("a", "y"): (10, 0, 100), ("b", "x"): (40, 0, 500)}
-    assert allocate(leaves, 100) == {("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 40}
+    assert drawn(leaves, 100) == {("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 40}
     leaves["a", "y"] = (10, 0, 20)
-    assert allocate(leaves, 100) == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 70}
+    assert drawn(leaves, 100) == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 70}
     leaves["b", "x"] = (40, 0, 5)
-    assert sum(allocate(leaves, 100).values()) == 35
+    assert sum(drawn(leaves, 100).values()) == 35
+
+
+def test_unmet_quota_is_reported():
+    leaves = {("a", "x"): Leaf(50, 0, 10, 50), ("a", "y"): Leaf(10, 0, 100, 10), ("b", "x"): Leaf(40, 60, 41, 60)}
+    assert allocate(leaves, 100) == {("a", "x"): Share(10, 40), ("a", "y"): Share(49, 0), ("b", "x"): Share(41, 19)}
 
 
 def test_minimum_is_kept():
     leaves = {("a", "x"): (9990, 5, 1000), ("b", "x"): (10, 20, 50), ("b", "y"): (0, 3, 2)}
-    assert allocate(leaves, 100) == {("a", "x"): 78, ("b", "x"): 20, ("b", "y"): 2}
+    assert drawn(leaves, 100) == {("a", "x"): 78, ("b", "x"): 20, ("b", "y"): 2}
     assert allocate({}, 10) == {}
-    small = allocate(leaves, 10)
+    small = drawn(leaves, 10)
     assert sum(small.values()) <= 10 and all(n >= 0 for n in small.values())
 
 
@@ -31,7 +40,7 @@ def test_allocation_is_exact_and_within_bounds():
     for _ in range(300):
         leaves = {(str(r.randrange(4)), str(r.randrange(5))): (r.randrange(1, 90), r.randrange(4), r.randrange(60)) for _ in range(r.randrange(1, 12))}
         size = r.randrange(200)
-        got = allocate(leaves, size)
+        got = drawn(leaves, size)
         assert all(0 <= got[p] <= leaves[p][2] for p in leaves)
         assert sum(got.values()) == min(size, sum(a for _, _, a in leaves.values()))
         floors = {p: min(m, a) for p, (_, m, a) in leaves.items()}
@@ -39,6 +48,18 @@ def test_allocation_is_exact_and_within_bounds():
             assert all(got[p] >= floors[p] for p in leaves)
 
 
+def test_many_strata_are_allocated_in_tasks(spark):
+    keys = ("cwe_label", "programming_language")
+    targets = spark.range(200_000).selectExpr("concat('l', id div 400) as cwe_label", "concat('p', id % 400) as programming_language", "1 + cast(id % 7 as int) as target_bp", "cast(id % 3 as int) as min_rows")
+    rows = spark.range(90_000).selectExpr("concat('l', id % 499) as cwe_label", "concat('p', id % 37) as programming_language")
+    report = stratum_report(rows, targets, keys, "target_bp", "min_rows", 10_000)
+    total = report.selectExpr("count(*) as n", "sum(allocated) as a", "sum(missing) as m", "max(allocated - available) as over").first()
+    assert (total["n"], total["a"]) == (200_000, 10_000) and total["over"] <= 0
+    few = targets.where("cwe_label in ('l1', 'l2', 'l3')")
+    there, here = (stratum_report(rows, few, keys, "target_bp", "min_rows", 200, on_driver=n) for n in (5, 10_000))
+    assert sorted(map(tuple, there.collect())) == sorted(map(tuple, here.collect()))
+
+
 def test_report_and_draw(spark):
     targets = spark.createDataFrame([("a", "x", 6000, 2), ("b", "x", 4000, 2), ("c", None, 0, 5)], REPORT)
     rows = spark.createDataFrame([(i % 997, "a" if i % 3 else "b", "x", "extra") for i in range(1500)] + [(None, "b", "x", "extra"), (5, "z", None, "no")], "id int, cwe_label string, programming_language string, __n string")
