@@ -1,32 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 
-import numpy as np
 import pytest
 
 from siftstone.functions.readings import code_form
-from siftstone.llm import leakage
-from siftstone.llm.leakage import build_shard, overlaps, search
+from siftstone.llm.leakage import overlap_report, overlaps
 from tests.llm.test_near import corpus, likeness, runs_of
 
 
-def test_backward_search_counts_every_occurrence():
-    r = random.Random(1)
-    texts = [[r.randrange(1, 6) for _ in range(r.choice([1, 2, 3, 7, 40]))] for _ in range(60)]
-    words = np.array([w for t in texts for w in t], np.uint64)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    index = build_shard(words, offsets, 3)
-    patterns = np.array([[r.randrange(1, 8) for _ in range(3)] for _ in range(300)], np.uint64)
-    lo, hi = search(index, patterns)
-    for p, a, b in zip(patterns.tolist(), lo, hi):
-        want = sorted(k for k, t in enumerate(texts) for i in range(len(t) - 2) if t[i : i + 3] == p)
-        assert sorted(index["holder"][a:b].tolist()) == want
-    pad = np.array([[texts[0][0], leakage._PAD, leakage._PAD]], np.uint64)
-    lo, hi = search(index, pad)
-    assert sorted(index["holder"][lo[0] : hi[0]].tolist()) == [k for k, t in enumerate(texts) if t == texts[0][:1]]
-
-
 @pytest.mark.parametrize(("seed", "shard_words"), [(1, 8_000_000), (2, 400), (3, 60)])
 def test_against_brute_force(spark, seed, shard_words):
     codes = [*corpus(170, seed, 40), None, "", ";", "{a: 1, b: 2}", "{b: 2, a: 1}", "one", "ONE", "a b", "a\nb"]
@@ -46,7 +29,41 @@ def test_against_brute_force(spark, seed, shard_words):
     for (i, j), row in got.items():
         assert row["same_form"] == bool(forms[i] and forms[i] == forms[j])
         if likeness(known[i], known[j]) * 10 >= 7:
-            assert row["likeness"] == pytest.approx(float(likeness(known[i], known[j]))) and row["shared"] == len(known[i] & known[j]) and row["spans"] >= 1
+            assert row["likeness"] == pytest.approx(float(likeness(known[i], known[j]))) and row["shared"] == len(known[i] & known[j])
+            mine, theirs = words_of(codes[i]), words_of(codes[j])
+            assert 1 <= row["spans"] and row["longest"] <= max(3, longest_match(mine, theirs))
+            if mine == theirs:
+                assert row["longest"] == max(3, len(mine))
+        else:
+            assert row["likeness"] is None and row["spans"] is None
+
+
+def words_of(code):
+    return re.findall(r"\w+", code.lower())
+
+
+def longest_match(a, b):
+    return max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + k] == b[j : j + k]), default=0)
+
+
+def test_report_counts_what_pairs_would(spark):
+    codes = [*corpus(150, 5, 40), None, "", "{a: 1, b: 2}", "{b: 2, a: 1}", "x y z", "x y z", "x y z"]
+    r = random.Random(5)
+    rows = [(i, c, r.choice(["train", "val", "test", None]), r.choice(["p", "q", None]), "L") for i, c in enumerate(codes)]
+    rows += [(900 + k, *row[1:]) for k, row in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows, "id int, code string, split string, source string, label string").repartition(3)
+    pairs = overlaps(df, "id", "code", "split").collect()
+    want = {}
+    for i, _, split, source, label in rows:
+        if split in ("val", "test"):
+            own = [p for p in pairs if p["eval_id"] == i]
+            old = want.get((split, source, label), (0, 0, 0, 0))
+            want[split, source, label] = (old[0] + 1, old[1] + bool(own), old[2] + any(p["same_form"] for p in own), old[3] + len(own))
+    for words in (2_000_000, 150):
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in overlap_report(df, "code", "split", ("split", "source", "label"), shard_words=words).collect()}
+        assert got == want
+    for none in (df.limit(0), df.where("split = 'train'")):
+        assert overlap_report(none, "code", "split", ("split",)).count() == 0
 
 
 def test_hot_copies_and_nothing(spark):
