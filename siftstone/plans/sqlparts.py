@@ -52,3 +52,12 @@ risks as (
   select *, len(tags) as n_tags, least(len(tags) * 0.15::double + n_findings * 0.4::double, 1.0::double) as risk_score from scores)"""
 AUDIT = f"with {RULES}, {BLOCKS}, {LINES}, {FINDINGS}, {SCORES}"
 SPLIT_LINES = r"regexp_split_to_array({0}, '\r\n|[\n\r\x{{0B}}\x{{0C}}\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]')"
+
+# The form of a code: letters and digits only, the entries of innermost braces sorted where all begin with a key.
+_BLANK = r"[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]"
+_KEY = rf"""^{_BLANK}*\.?{_BLANK}*["''`]?{_BLANK}*[\p{{L}}\p{{N}}_]+{_BLANK}*["''`]?{_BLANK}*[:=]"""
+_LETTERS = r"regexp_replace(%s, '[^\p{L}\p{N}]+', '', 'g')"
+_ENTRIES = rf"list_filter(string_split(s[2:-2], ','), lambda e: regexp_matches(e, '[^\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}]'))"
+FORM = rf"""array_to_string(list_transform(regexp_extract_all(lower(code), '\{{[^{{}}]*\}}|[^{{}}]+|[{{}}]'), lambda s:
+  case when len(s) > 1 and s[1] = '{{' and len(list_filter({_ENTRIES}, lambda e: not regexp_matches(e, '{_KEY}'))) = 0
+  then array_to_string(list_sort(list_transform({_ENTRIES}, lambda e: {_LETTERS % 'e'})), '') else {_LETTERS % 's'} end), '')"""

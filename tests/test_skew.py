@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
-from siftstone.operators.skew import balanced_key_stats, fragment, fragment_plan, replicate
+from siftstone.operators.skew import balanced_key_stats, combined, fragment, fragment_plan, replicate
 
 SCHEMA = "k string, form binary, nloc bigint, at timestamp, extra int"
 
@@ -55,3 +56,24 @@ def test_no_task_holds_a_hot_key(spark):
     assert sum(sizes) == 20_000 and max(sizes) < 1.4 * 20_000 / 8
     copies = replicate(spark.createDataFrame([("hot", 1), ("7", 1)], "k string, x int"), plan).groupBy("k").count().collect()
     assert {r["k"]: r["count"] for r in copies} == {"hot": plan.shards[("hot",)], "7": 1}
+
+
+def test_rows_are_folded_where_they_were_placed(spark):
+    """The plan as executed: one move a side, then join and folds without exchange until the shards' results meet."""
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then 'hot' else cast(id % 50 as string) end as k", "cast(cast(id as string) as binary) as form", "id as nloc", "timestamp_seconds(id) as at")
+    matching = spark.createDataFrame([("hot", 5), ("7", 6)], "k string, share int")
+    got = balanced_key_stats(rows, ("k",), "form", "nloc", "at", matching, tasks=8, how="left")
+    assert {r["k"]: (r["n_rows"], r["n_form"], r["share"]) for r in got.collect() if r["k"] in ("hot", "7", "8")} == {"hot": (6667, 6667, 5), "7": (267, 267, 6), "8": (267, 267, None)}
+    executed = got._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    moves = re.findall(r"(?<!Broadcast)Exchange (\w+)\(([^)]*)", executed)
+    assert sorted(kind for kind, _ in moves) == ["hashpartitioning", "shufflepartitionidpassthrough", "shufflepartitionidpassthrough"]
+    assert all("__shard" not in by and by.startswith("k#") for kind, by in moves if kind == "hashpartitioning")
+    assert "ShuffledHashJoin" in executed and "BroadcastHashJoin" in executed  # the matching side; the plan's own tables
+
+
+def test_copies_of_one_value_are_combined_before_they_move(spark):
+    rows = spark.range(8000).selectExpr("'hot' as k", "cast('same' as binary) as form", "id as nloc", "timestamp_seconds(id) as at")
+    folded = combined(rows, ("k",), "form", "nloc", "at")
+    assert folded.count() <= 8 and folded.selectExpr("sum(__n)").first()[0] == 8000
+    got = balanced_key_stats(rows, ("k",), "form", "nloc", "at", tasks=4).first()
+    assert (got["n_rows"], got["n_form"], got["mean_nloc"]) == (8000, 1, 3999.5)
