@@ -65,9 +65,37 @@ def php_wrapped(code: Column, key: Column) -> Column:
     return F.when(bare, F.concat(F.lit("<?php\n"), code, F.lit("\n?>"))).otherwise(code)
 
 
+_QUOTED = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\""""
+
+
+def _entries(text: Column) -> Column:
+    """Entries at the top level of a bracketed literal without quoted text; null where the brackets do not match.
+
+    One pass over the characters: the depth, the commas at depth 1, and whether anything but blanks has come since the last one.
+    """
+    chars = F.split(strip(text), "")
+
+    def step(at: Column, c: Column) -> Column:
+        depth = at["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
+        comma = (c == ",") & (at["depth"] == 1)
+        blank = c.rlike(f"^[{WS}]*$") | ((at["depth"] == 0) & (depth == 1)) | (depth == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(comma, at["done"] + 1).otherwise(at["done"]).cast("bigint").alias("done"),
+            F.when(comma, False).otherwise(at["open"] | ~blank).alias("open"), (at["ended"] | ((at["depth"] > 0) & (depth == 0))).alias("ended"),
+            (at["bad"] | (depth < 0) | (at["ended"] & (c != ""))).alias("bad"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("done"), F.lit(False).alias("open"), F.lit(False).alias("ended"), F.lit(False).alias("bad"))
+    last = F.aggregate(chars, start, step)
+    fine = strip(text).rlike(r"^[\[\(\{]") & (last["depth"] == 0) & ~last["bad"]
+    return F.when(fine, last["done"] + F.when(last["open"], 1).otherwise(0))
+
+
 def parameter_count(parameters: Column) -> Column:
-    """Entries of a list written as text; 0 for null, and for text that is no list of plain values."""
-    return F.coalesce(F.size(F.from_json(parameters, "array<string>")), F.lit(0)).cast("bigint")
+    """Entries of a list, tuple, set or dictionary written as text, however deeply its entries nest; 0 for null and for other text."""
+    plain = F.size(F.from_json(parameters, "array<string>"))
+    nested = _entries(F.regexp_replace(parameters, _QUOTED, "x"))
+    return F.coalesce(F.when(plain >= 0, plain).otherwise(nested), F.lit(0)).cast("bigint")
 
 
 def rough_metrics(code: Column) -> Column:

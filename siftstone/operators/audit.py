@@ -91,12 +91,16 @@ def block_findings(code: Column, lang: Column, first_line: Column) -> Column:
     return F.array_sort(F.flatten(F.array(*parts)))
 
 
-def scored(blocks: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
-    """``blocks`` with ``tags``, ``n_tags``, ``n_findings`` and ``risk_score``; no shuffle. Null code scores 0."""
+def scored(blocks: DataFrame, vocabulary: Sequence[str] | None = None, findings: str | None = None) -> DataFrame:
+    """``blocks`` with ``tags``, ``n_tags``, ``n_findings`` and ``risk_score``; no shuffle. Null code scores 0.
+
+    With ``findings``, the column that holds each block's, the rules are not searched again.
+    """
+    count = finding_count(F.col("code"), F.col("lang")) if findings is None else F.size(findings).cast("bigint")
     tags = F.coalesce(block_tags(F.col("code"), vocabulary), F.array().cast("array<string>"))
     return (
         blocks.withColumn("tags", tags)
         .withColumn("n_tags", F.size("tags").cast("bigint"))
-        .withColumn("n_findings", finding_count(F.col("code"), F.col("lang")))
+        .withColumn("n_findings", count)
         .withColumn("risk_score", risk(F.col("n_tags"), F.col("n_findings")))
     )

@@ -14,10 +14,6 @@ MASK = "<mask>"
 CANDIDATES = 10
 
 
-def _known() -> Column:
-    return F.array(*[F.lit(w) for w in sorted({*indicators(), *RESERVED_WORDS})])
-
-
 def preserved(token: Column) -> Column:
     """Whether augmentation must keep a token: an indicator or a reserved word, in any letter case."""
     return F.lower(token).isin(sorted({*indicators(), *RESERVED_WORDS}))
@@ -67,7 +63,7 @@ def augmented(df: DataFrame, id_column: str, code: str = "code", text_share: flo
         single = (F.length(x["t"]) == 1) & ~x["t"].rlike(r"[\p{L}\p{N}]")
         new = F.try_element_at("__names", x["t"])
         masked = chance("mask", F.col(id_column), x["i"]) < mask_share
-        return F.when(F.array_contains(_known(), F.lower(x["t"])) | single, x["t"]).when(new.isNotNull(), new).when(masked, MASK).otherwise(x["t"])
+        return F.when(preserved(x["t"]) | single, x["t"]).when(new.isNotNull(), new).when(masked, MASK).otherwise(x["t"])
 
     text = F.when(F.col("changed"), F.array_join(F.transform(words, one), " ")).otherwise(F.col(code))
     return joined.select(id_column, text.alias("code"), "changed")

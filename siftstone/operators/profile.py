@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftstone.plans.dims import sized
+
 METRICS = ("nloc", "complexity", "token_count", "top_nesting_level")
 
 
@@ -26,17 +28,28 @@ def top_values(df: DataFrame, column: str, k: int, total: Column | None = None)
 def with_domain(counts: DataFrame, column: str, domain: Sequence[str]) -> DataFrame:
     """Counts for each value of ``domain``, 0 where there is none."""
     known = counts.sparkSession.createDataFrame([(d,) for d in domain], f"{column} string")
-    return known.join(F.broadcast(counts), column, "left").select(column, F.coalesce("n_rows", F.lit(0)).alias("n_rows"))  # counts: one row a value
+    held = counts.where(F.col(column).isin(list(domain)))  # no more rows than the domain
+    return known.join(F.broadcast(held), column, "left").select(column, F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+def present(df: DataFrame, metrics: Sequence[str]) -> list[str]:
+    """Those of ``metrics`` that ``df`` has as columns, in the order given."""
+    return [m for m in metrics if m in df.columns]
 
 
 def long_form(df: DataFrame, ids: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
-    """(ids, metric, value): one row per row and metric, nulls kept."""
+    """(ids, metric, value): one row per row and metric, nulls kept; metrics that ``df`` lacks are left out."""
+    metrics = present(df, metrics)
+    if not metrics:
+        return df.select(*ids, F.lit("").alias("metric"), F.lit(0.0).alias("value")).limit(0)
     return df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(ids), list(metrics), "metric", "value")
 
 
 def numeric_summary(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Per metric: sum, sum of squares, least, most, mean over all rows and mean over rows with a value."""
-    parts = []
+    """Per metric that ``df`` has: sum, sum of squares, least, most, mean over all rows and mean over rows with a value."""
+    parts, metrics = [], present(df, metrics)
+    if not metrics:
+        return df.sparkSession.createDataFrame([], "metric string, total bigint, total_sq bigint, least bigint, most bigint, mean_all double, mean_known double")
     for m in metrics:
         x = F.col(m).cast("bigint")
         parts.append(
@@ -53,15 +66,34 @@ def box_statistics(rows: DataFrame, group: str, metric: str = "metric", value: s
     known = rows.where(F.col(value).isNotNull())
     quartiles = known.groupBy(group, metric).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n_values"))
     q = quartiles.select(group, metric, "n_values", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    fenced = known.join(F.broadcast(q), [group, metric])  # one row a class and metric
+    fenced = known.join(sized(q), [group, metric])  # one row a class and metric
     spread = F.lit(iqr) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - spread) & (F.col(value) <= F.col("q3") + spread)
     return fenced.where(inside).groupBy(group, metric, "n_values", "q1", "median", "q3").agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
 
 
 def correlations(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """(metric_a, metric_b, r): Pearson's r of each pair over rows where both are known."""
-    pairs = list(combinations(metrics, 2))
+    """(metric_a, metric_b, r): Pearson's r of each pair of metrics that ``df`` has, over rows where both are known."""
+    pairs = list(combinations(present(df, metrics), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "metric_a string, metric_b string, r double")
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     parts = [F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.round(f"__{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)]
     return wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+
+
+def printed(df: DataFrame, widths: dict[str, int], digits: int = 2) -> DataFrame:
+    """``df`` with ``line``: its columns as fixed-width text, as a console report shows them.
+
+    Whole numbers get thousands separators, other numbers ``digits`` decimals as well, columns named ``pct`` a percent sign; text stands
+    left, numbers right. Null shows as a dash; longer text is cut to its width.
+    """
+    cells = []
+    for name, width in widths.items():
+        kind = df.schema[name].dataType.simpleString()
+        whole, number = kind in ("tinyint", "smallint", "int", "bigint"), kind in ("float", "double") or kind.startswith("decimal")
+        text = F.format_number(name, 0 if whole else digits) if whole or number else F.col(name).cast("string")
+        if name == "pct":
+            text = F.concat(text, F.lit("%"))
+        cells.append((F.lpad if whole or number else F.rpad)(F.coalesce(text, F.lit("-")), width, " "))
+    return df.withColumn("line", F.concat_ws(" ", *cells))

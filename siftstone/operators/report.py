@@ -20,7 +20,7 @@ def audited(files: DataFrame, id_column: str) -> DataFrame:
     """
     rows = functions(files, id_column).where("error is null")
     rough = rough_metrics(php_wrapped(F.col("code"), F.col("lang")))
-    found = scored(rows).withColumn("findings", block_findings(F.col("code"), F.col("lang"), F.col("start_line")))
+    found = scored(rows.withColumn("findings", block_findings(F.col("code"), F.col("lang"), F.col("start_line"))), findings="findings")
     measured = found.withColumn("__r", F.when(~F.col("parsed"), rough))
     features = F.struct(
         F.coalesce("nloc", "__r.nloc").alias("nloc"), F.coalesce("complexity", F.col("__r.complexity").cast("double")).alias("complexity"),
@@ -45,6 +45,32 @@ def per_file(blocks: DataFrame, id_column: str, *columns: str, files: DataFrame
     return joined.select(id_column, F.coalesce("total_functions", F.lit(0)).alias("total_functions"), F.coalesce("functions", none).alias("functions"))
 
 
+def batch_response(files: DataFrame, blocks: DataFrame, groups: Sequence[str], id_column: str) -> DataFrame:
+    """(groups, total_files_processed, response): the answer to each request as JSON text.
+
+    ``files`` has ``groups``, the identifier, ``filename`` and ``code``; ``blocks`` are rows of ``audited``, perhaps with ``prediction``. All
+    files are counted; those with null code, which cannot be processed, are not among the results, and one that cannot be
+    parsed is there without functions. Results stand in order of the identifier.
+    """
+    guess = F.col("prediction") if "prediction" in blocks.columns else F.lit(None).cast("struct<label:string,confidence:double,probabilities:map<string,double>>")
+    shaped = blocks.select(
+        id_column, "function_name", "start_line", "end_line", "risk_score", guess.alias("codebert_prediction"), "features",
+        F.transform("findings", lambda f: F.struct(f["line_no"].alias("line"), f["content"].alias("content"), f["message"].alias("message"), f["severity"].alias("severity"))).alias("findings"),
+        "tags",
+    )
+    per = per_file(shaped, id_column, "function_name", "risk_score", "codebert_prediction", "features", "findings", "tags", files=files.where("code is not null"))
+    place = "__file"
+    result = F.struct(F.col(id_column).alias(place), "filename", "total_functions", "functions")
+    joined = files.select(*groups, id_column, "filename").join(per, id_column, "left")
+    by_place = lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0)  # noqa: E731 predictions hold maps, which have no order
+    answers = joined.groupBy(*groups).agg(
+        F.count("*").alias("total_files_processed"), F.array_sort(F.collect_list(F.when(F.col("functions").isNotNull(), result)), by_place).alias("__r")
+    )
+    results = F.transform("__r", lambda r: F.struct(r["filename"].alias("filename"), r["total_functions"].alias("total_functions"), r["functions"].alias("functions")))
+    text = F.to_json(F.struct("total_files_processed", results.alias("results")), {"ignoreNullFields": "false"})
+    return answers.select(*groups, "total_files_processed", text.alias("response"))
+
+
 def risky(score: Column, label: Column, limit: float = 60.0, scale: float = 1.0) -> Column:
     """Whether a block is listed: its scaled risk is above the limit or its predicted label is neither Safe nor N/A."""
     return (score * scale > limit) | ~F.coalesce(label, F.lit("Safe")).isin("Safe", "N/A")
@@ -69,7 +95,7 @@ def function_lines(name: Column, start: Column, end: Column, score: Column, labe
 
 
 def reports(files: DataFrame, blocks: DataFrame, groups: Sequence[str], id_column: str, label: Column | None = None, scale: float = 1.0) -> DataFrame:
-    """(groups, n_files, n_functions, n_risky, message, report): a chat message and the whole Markdown report of each request.
+    """(groups, n_files, n_functions, n_risky, message, report, report_name): a chat message and the whole Markdown report of each request.
 
     ``files`` has ``groups``, the identifier, ``filename``, ``title`` and ``at`` (the report's time); ``blocks`` are the rows of ``audited``.
     A file without functions counts as a file. Only lines of risky functions are gathered, per file and then per request.
@@ -86,6 +112,7 @@ def reports(files: DataFrame, blocks: DataFrame, groups: Sequence[str], id_colum
         files.join(found, id_column, "left").groupBy(*groups).agg(
             F.count("*").alias("n_files"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_functions"), F.coalesce(F.sum("__r"), F.lit(0)).alias("n_risky"),
             F.coalesce(F.min("title"), F.lit("")).alias("__title"), F.coalesce(F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("__at"),
+            F.concat(F.lit("security_report_"), F.coalesce(F.date_format(F.max("at"), "HHmmss"), F.lit("000000")), F.lit(".md")).alias("report_name"),
             F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "").alias("__details"),
         )
     )
@@ -101,4 +128,4 @@ def reports(files: DataFrame, blocks: DataFrame, groups: Sequence[str], id_colum
         F.format_string("- Total Archivos: %d\n- Total Funciones: %d\n- Hallazgos Críticos: %d\n\n--- \n", "n_files", "n_functions", n),
         F.lit("## Detalle de Vulnerabilidades\n\n"), F.when(none, F.lit("🎉 Sin vulnerabilidades detectadas.")).otherwise(F.col("__details")),
     )
-    return totals.select(*groups, "n_files", "n_functions", "n_risky", message.alias("message"), report.alias("report"))
+    return totals.select(*groups, "n_files", "n_functions", "n_risky", message.alias("message"), report.alias("report"), "report_name")

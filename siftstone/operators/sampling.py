@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftstone.functions.derive import label_name
 from siftstone.functions.dictionaries import LABEL_NAMES
 from siftstone.operators.ranks import draw_key, draw_number, hashed_rank
+from siftstone.plans.dims import sized
 
 
 def reduce_by_chunk(df: DataFrame, id_column: str, fraction: float = 0.3, chunk_rows: int = 10_000, seed: str = "42") -> DataFrame:
@@ -45,22 +47,22 @@ def class_weights(df: DataFrame, label: str = "label_id", classes: int = len(LAB
 def sampler_weights(df: DataFrame, label: str) -> DataFrame:
     """``df`` with ``weight``: one over the rows of its label; the label counts are few and joined by size."""
     counts = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
-    return df.join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("__label"))).withColumn("weight", F.lit(1.0) / F.col("__n")).drop("__label", "__n")
+    return df.join(sized(counts), F.col(label).eqNullSafe(F.col("__label"))).withColumn("weight", F.lit(1.0) / F.col("__n")).drop("__label", "__n")
 
 
 def weighted_resample(df: DataFrame, label: str, id_column: str, seed: str = "42") -> DataFrame:
     """(draw_no, label, id): as many draws with replacement as rows, each label equally likely, each row of it too."""
     ranked = hashed_rank(df.select(label, id_column), [label], draw_key(seed, F.col(id_column)), [id_column], "__rank")
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    present = [(i, *r) for i, r in enumerate(sorted(counts.collect(), key=lambda r: str(r[0])))]  # one row a label
-    if not present:
+    counts = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    order = Window.orderBy(F.coalesce(F.col("__l").cast("string"), F.lit("None")))  # over one row a label
+    labels = counts.select((F.row_number().over(order) - 1).alias("__i"), "__l", "__n")
+    total = counts.agg(F.sum("__n").alias("rows"), F.count("*").alias("labels")).first()
+    if not total["labels"]:
         return df.select(F.lit(0).cast("bigint").alias("draw_no"), label, id_column).limit(0)
-    kind = df.schema[label].dataType.simpleString()
-    labels = df.sparkSession.createDataFrame(present, f"__i int, __l {kind}, __n bigint")
-    draws = df.sparkSession.range(sum(r[2] for r in present)).select(
-        F.col("id").alias("draw_no"), (draw_number(draw_key("label", F.col("id"))) % len(present)).cast("int").alias("__i"), draw_number(draw_key("row", F.col("id"))).alias("__d")
+    draws = df.sparkSession.range(total["rows"]).select(
+        F.col("id").alias("draw_no"), (draw_number(draw_key("label", F.col("id"))) % total["labels"]).cast("int").alias("__i"), draw_number(draw_key("row", F.col("id"))).alias("__d")
     )
-    picked = draws.join(F.broadcast(labels), "__i").select("draw_no", "__l", (F.col("__d") % F.col("__n") + 1).alias("__at"))
+    picked = draws.join(sized(labels), "__i").select("draw_no", "__l", (F.col("__d") % F.col("__n") + 1).alias("__at"))
     on = (F.col("__rank") == F.col("__at")) & F.col(label).eqNullSafe(F.col("__l"))
     return picked.join(ranked, on).select("draw_no", label, id_column)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions.dictionaries import LABEL_NAMES
@@ -42,6 +42,27 @@ def model_scorer(model: PipelineModel, code: str = "code") -> Scorer:
     return score
 
 
+def prediction_json(prediction_column: str = "prediction") -> Column:
+    """A prediction as the JSON text of a response: label, confidence and probabilities by name; null for none."""
+    return F.to_json(F.col(prediction_column), {"ignoreNullFields": "false"})
+
+
+def save_if_better(model: PipelineModel, score: float, best: float | None, path: str) -> float:
+    """Save ``model`` at ``path``, replacing the one there, if its score beats ``best``; gives the better of both."""
+    if best is None or score > best:
+        model.write().overwrite().save(path)
+        return score
+    return best
+
+
+def write_history(spark: SparkSession, epochs: Sequence[dict], path: str) -> None:
+    """The training history, one JSON line an epoch in one file; values missing in some epochs are null there."""
+    names = list(dict.fromkeys(k for e in epochs for k in e))
+    kinds = {k: "bigint" if all(isinstance(e.get(k, 0), int) for e in epochs) else "double" for k in names}
+    rows = [tuple(None if e.get(k) is None else (int if kinds[k] == "bigint" else float)(e[k]) for k in names) for e in epochs]
+    spark.createDataFrame(rows, ", ".join(f"`{k}` {kinds[k]}" for k in names)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def predicted(df: DataFrame, scorer: Scorer) -> DataFrame:
     """``df`` with ``prediction``: label, confidence and probabilities; null where the scorer gave none."""
     scored = scorer(df)

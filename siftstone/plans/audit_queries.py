@@ -95,8 +95,9 @@ def audit_files(spark, d):
 
 
 def audit_batch_json(spark, d):
-    """Per file: the response as JSON text."""
-    return audit_files(spark, d).select("payload_id", F.to_json(F.struct("total_functions", "functions")).alias("response"))
+    """Per request: the number of its files, and the response as JSON text."""
+    files = table(spark, d, "code_payload", "payload_id", "pr_id", "filename", "code")
+    return report.batch_response(files, audit_functions(spark, d), ["pr_id"], "payload_id")
 
 
 def report_summary(spark, d):

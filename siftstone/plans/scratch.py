@@ -1,8 +1,8 @@
 """Scratch tables in the folder all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Where that is unset (tests, a laptop) a
-folder is made for the session and set. Tables written here cut the lineage and survive the loss of
-an executor, which a local checkpoint would not.
+The folder is ``spark.checkpoint.dir`` of the session. Where that is unset and the session is local (tests, a laptop) a
+folder is made for the session and set; a cluster must name one, as its executors share no temporary folder. Tables
+written here cut the lineage and survive the loss of an executor, which a local checkpoint would not.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
         option = sc._jsc.sc().getCheckpointDir()
         root = option.get() if option.isDefined() else None
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftstone-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")

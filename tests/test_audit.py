@@ -56,6 +56,12 @@ def test_derivations(spark):
         "f string, l string, c string, p string",
     )
     key = language_key(F.col("l"))
+    nested = {
+        "[('a', 'int'), ('b', None)]": 2, "(1,)": 1, "()": 0, "[ ]": 0, "[[1, [2, 3]], {'k': [1, 2]}, (4, 5)]": 3, "{'a': 1, 'b': (2, 3)}": 2, "[('it\\'s, [x', 1)]": 1,
+        "[('a', 1), ]": 1, "[('a'": 0, "x": 0, "": 0, "5": 0, "[(1, 2)] x": 0, "[('😀,', 1), ('b', 2)]": 2,
+    }
+    counts = spark.createDataFrame([(k,) for k in nested], "p string").select("p", parameter_count(F.col("p"))).collect()
+    assert dict(map(tuple, counts)) == nested
     got = rows.select(default_filename(F.col("f"), key), key, label_id(F.col("c")), parameter_count(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("virtual_file.py", "py", 0, 1), ("b.c", "java", 7, 0), ("virtual_file.txt", "none", 4, 0), ("virtual_file.js", "js", 7, 2)]
 
@@ -173,3 +179,50 @@ def test_file_without_functions_keeps_its_row(spark):
     files = spark.createDataFrame([(1, "python", PYTHON), (2, "python", "x")], "file_id int, programming_language string, code string")
     got = per_file(audited(files, "file_id").where("file_id = 1"), "file_id", files=files).collect()  # as if the second could not be parsed
     assert {r["file_id"]: (r["total_functions"], len(r["functions"])) for r in got} == {1: (2, 2), 2: (0, 0)}
+
+
+def test_responses_and_notifications(spark, capsys):
+    import json
+
+    rows = [(1, 1, "one.py", PYTHON, "c1"), (2, 1, "two.py", None, "c1"), (3, 1, "three.py", "exec(x)\nexec(y)\nexec(z)\n", "c1"), (4, 2, "four.py", "x = 1", None), (5, 3, "five.py", "y", "c3")]
+    files = spark.createDataFrame(rows, "file_id int, request int, filename string, code string, chat_id string").selectExpr(
+        "*", "'python' as programming_language", "concat('PR ', request) as title", "timestamp'2025-01-02 03:04:05' as at"
+    )
+    seen = []
+
+    def send(chat, message, document, name):
+        if chat == "c3":
+            raise OSError("no network")
+        seen.append((chat, message, document, name))
+
+    got = {r["request"]: r for r in Engine(spark).answer(files, ["request"], notify=send).collect()}
+    assert {k: r["total_files_processed"] for k, r in got.items()} == {1: 3, 2: 1, 3: 1}
+    body = json.loads(got[1]["response"])
+    assert body["total_files_processed"] == 3 and [(f["filename"], f["total_functions"]) for f in body["results"]] == [("one.py", 2), ("three.py", 1)]
+    first, main = body["results"][0]["functions"][0], body["results"][1]["functions"][0]
+    assert set(first) == {"function_name", "start_line", "end_line", "risk_score", "codebert_prediction", "features", "findings", "tags"} and first["codebert_prediction"] is None
+    assert (first["function_name"], first["start_line"], first["features"]["parameters_count"]) == ("first", 3, 2)
+    assert [f["line"] for f in main["findings"]] == [1, 2, 3] and main["findings"][0]["severity"] == "HIGH" and main["tags"] == ["exec"] and main["risk_score"] == 1.0
+    assert [(c, name) for c, _, _, name in seen] == [("c1", "security_report_030405.md")] and "PR 1" in seen[0][1] and "**Fecha:** 2025-01-02 03:04:05" in seen[0][2]
+    said = capsys.readouterr().out
+    assert "no chat" in said and "no network" in said
+
+
+def test_training_artefacts(spark, tmp_path, monkeypatch):
+    import json
+
+    from siftstone.engine import setting
+    from siftstone.operators.scorer import fit_scorer, model_scorer, predicted, prediction_json, save_if_better, write_history
+
+    data = spark.createDataFrame([("select from where", 2), ("return x", 0)] * 3, "code string, label_id int")
+    model = fit_scorer(data, rounds=1)
+    best = save_if_better(model, 0.5, None, str(tmp_path / "m"))
+    assert best == 0.5 and save_if_better(model, 0.4, best, str(tmp_path / "n")) == 0.5 and (tmp_path / "m").exists() and not (tmp_path / "n").exists()
+    write_history(spark, [{"epoch": 1, "loss": 0.5}, {"epoch": 2, "loss": 0.25, "f1": 1}], str(tmp_path / "h"))
+    held = [json.loads(x) for x in next((tmp_path / "h").glob("*.json")).read_text().splitlines()]
+    assert held == [{"epoch": 1, "loss": 0.5, "f1": None}, {"epoch": 2, "loss": 0.25, "f1": 1}]
+    out = predicted(spark.createDataFrame([("select x",), (None,)], "code string"), model_scorer(model)).select("code", prediction_json().alias("j")).collect()
+    body = json.loads(next(r["j"] for r in out if r["code"]))
+    assert set(body) == {"label", "confidence", "probabilities"} and len(body["probabilities"]) == 8 and next(r["j"] for r in out if not r["code"]) is None
+    monkeypatch.setenv("SIFTSTONE_MODEL", "/models/x")
+    assert Engine(spark).model_path == "/models/x" and setting(spark, "token") is None

@@ -37,6 +37,30 @@ def test_scratch(spark):
     assert df.count() == 5 and scratch_root(spark).removeprefix("file://") in df.inputFiles()[0]
 
 
+def test_scratch_on_a_cluster_must_be_named():
+    import pytest
+
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Conf
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return type("Nothing", (), {"isDefined": staticmethod(lambda: False)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_root(type("Session", (), {"sparkContext": Context()}))
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):

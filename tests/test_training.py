@@ -88,6 +88,17 @@ def test_profile_edges(spark):
     assert [r["r"] for r in profile.correlations(empty).collect()] == [None] * 6
 
 
+def test_absent_metrics_and_console_lines(spark):
+    rows = spark.createDataFrame([("a", 1500, 2.5), ("b", None, 3.5)], "id string, nloc int, other double")
+    assert [(r["metric"], r["total"], r["mean_all"]) for r in profile.numeric_summary(rows).collect()] == [("nloc", 1500, 750.0)]
+    assert profile.numeric_summary(rows.select("id")).count() == 0 == profile.correlations(rows).count() == profile.long_form(rows.select("id"), ["id"]).count()
+    assert profile.long_form(rows, ["id"]).count() == 2
+    lines = [r["line"] for r in profile.printed(rows.withColumn("pct", F.lit(12.345)), {"id": 4, "nloc": 7, "other": 6, "pct": 7}).orderBy("id").collect()]
+    assert lines == ["a      1,500   2.50  12.35%", "b          -   3.50  12.35%"] or lines == ["a      1,500   2.50  12.34%", "b          -   3.50  12.34%"]
+    held = profile.with_domain(profile.value_counts(rows, "id"), "id", ["a", "z"])
+    assert {r["id"]: r["n_rows"] for r in held.collect()} == {"a": 1, "z": 0}
+
+
 def test_augment_keeps_and_masks(spark):
     code = "int counter = total + query; " * 40
     rows = spark.createDataFrame([(i, code) for i in range(60)] + [(99, None), (98, "")], "id int, code string")
