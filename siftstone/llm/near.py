@@ -1,17 +1,19 @@
-"""Problem 3: near-duplicates by prefix filtering on rare run hashes, a segment bound and an exact check.
-
-This replaces a grid range-join on segment counts, whose cells are met by chance too often (see the README).
-
-* Candidates: a likeness of ``t`` lets a code of ``n`` runs miss at most ``n - ceil(t n)`` of its own runs in any partner, so it
-  is posted under one run hash (a cell) more than that, those that a fixed-size sketch of the collection calls rarest, and every
-  partner is met in at least one. The join compares, cell by cell, sizes and positions (what is left after a shared cell must
-  still hold the needed overlap);
-* bound: run hashes are counted in 64 equal segments; the Manhattan distance of two count vectors never exceeds the number of runs
-  in which the codes differ, and the likeness leaves room for at most (1-t)/(1+t) * (n_a + n_b) of those. It drops candidates, and
-  finds none.
-
-What remains is verified exactly. No step has a cap, so no pair is lost. Equal run sets are one class throughout and
-are expanded only where rows are asked for.
+"""Problem 3: near-duplicates by a range-join on segment counts within cells of rare runs, and an exact check.
+
+The cells of a grid on segment counts alone are met by chance too often (see the README); here a cell is a run hash, and the
+counts are compared within it.
+
+* Cells: a likeness of ``t`` lets a code of ``n`` runs miss at most ``n - ceil(t n)`` of its own runs in any partner, so it
+  is posted under one run hash more than that, those that a sketch of the collection calls rarest, and every partner is met in
+  at least one;
+* range-join: each posting carries its code's popcounts in 16 equal segments of the hash range. The Manhattan distance of two
+  such vectors never exceeds the number of runs in which the codes differ, and the likeness leaves room for at most
+  (1-t)/(1+t) * (n_a + n_b) of those. The join compares, cell by cell, this bound, and sizes and positions (what is left after a
+  shared cell must still hold the needed overlap);
+* check: the same bound on 64 segments, then the exact likeness.
+
+No step has a cap, so no pair is lost. Equal run sets are one class throughout and are expanded only where rows are asked
+for; a class is known by a 64-bit key of its set.
 """
 
 from __future__ import annotations
@@ -20,21 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.components import components
+from siftstone.llm.rarity import bits_for, rarity_sketch, slots
 from siftstone.llm.shingles import flat_list, likeness_terms, set_table, shared
 from siftstone.plans.scratch import materialise
 from siftstone.sources.tables import table
 
-#: Counters of the sketch that orders cells by how common they are: its size does not depend on the data.
-SKETCH_BITS = 20
-_CHUNK_BITS = 10
-#: Coarse segments of the fingerprint.
-SEGMENTS = 64
-#: Bits of the filter that tells which sets take part in the exact check.
-FILTER_BITS = 24
+#: Run hashes per counter of the sketch that orders cells by how common they are (within the bounds of ``rarity``).
+PER_COUNTER = 16
+#: Segments of the counts that postings carry, four bits each (15 stands for more: the bound only weakens), and of the check.
+COARSE, SEGMENTS = 16, 64
+#: The filter that tells which sets take part in the check has 16 bits or more a pair, up to 2^30 (128 MB), 2^20 at least.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 20, 30
+#: Postings per partition of the join, and keys a task remembers so as not to post a set twice, before it starts anew.
+PART_ROWS, _SEEN = 200_000, 1_000_000
 WIDTH = 3
 THRESHOLD = 0.7
 
@@ -51,43 +55,28 @@ def run_sets(df: DataFrame, id_column: str, text_column: str, width: int = WIDTH
     return materialise(picked.mapInArrow(lambda it: set_table(it, width), schema), "runs")
 
 
-def _sketch_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        h, _ = flat_list(batch.column(0))
-        counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-    chunks = counts.reshape(-1, 1 << _CHUNK_BITS)
-    used = np.flatnonzero(chunks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([chunks[k].tobytes() for k in used], pa.binary())], ["chunk", "counts"])
-
-
-def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(c, np.uint32).astype(np.uint64)
-            sums[k] = sums[k] + part if k in sums else part
-    for k, s in sums.items():
-        level = np.floor(8 * np.log2(s.astype(np.float64) + 1)).clip(0, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
-
-
-def rarity_sketch(runs: DataFrame) -> np.ndarray:
-    """How common the cells of each hash range are, on a logarithmic scale: 2^SKETCH_BITS bytes, whatever the data."""
-    schema = "chunk int, counts binary"
-    summed = (
-        runs.select("runs").mapInArrow(_sketch_parts, schema)
-        .repartition("chunk")
-        .mapInArrow(_sketch_sums, "chunk int, level binary")
-    )
-    levels = np.zeros((1 << (SKETCH_BITS - _CHUNK_BITS), 1 << _CHUNK_BITS), np.uint8)
-    for r in summed.collect():
-        levels[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
-    return levels.ravel()
+def _fresh(keys: np.ndarray, seen: set) -> list[int]:
+    """The places of keys not seen before; ``seen`` is emptied when it has grown too large, at the cost of repetitions only."""
+    if len(seen) > _SEEN:
+        seen.clear()
+    return [k for k, key in enumerate(keys.tolist()) if not (key in seen or seen.add(key))]
+
+
+def coarse_counts(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Popcounts of each set in 16 equal segments, packed four bits each."""
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n), np.diff(offsets)) * COARSE + (h >> np.uint64(60)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=n * COARSE).reshape(n, COARSE), 15).astype(np.uint64)
+    return np.bitwise_or.reduce(counts << (np.arange(COARSE, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+def coarse_distance(a: str, b: str) -> Column:
+    """The Manhattan distance of two packed count vectors."""
+    return F.expr(" + ".join(f"abs((shiftrightunsigned({a}, {4 * k}) & 15L) - (shiftrightunsigned({b}, {4 * k}) & 15L))" for k in range(COARSE)))
 
 
 def posted_cells(runs: DataFrame, sketch: np.ndarray, threshold: float) -> DataFrame:
-    """(cell, set_key, n, pos): each distinct set of a task under its rarest cells, ``pos`` from 0."""
+    """(cell, set_key, place, counts): each distinct set of a task under its rarest cells; ``place`` is n * 2^32 + position from 0."""
     top, bottom = likeness_terms(threshold)
     shipped = runs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -95,52 +84,53 @@ def posted_cells(runs: DataFrame, sketch: np.ndarray, threshold: float) -> DataF
         level, seen = shipped.value, set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            fresh = []
-            for k, key in enumerate(keys.tolist()):
-                if key not in seen:
-                    seen.add(key)
-                    fresh.append(k)
-            h, offsets = flat_list(batch.column(2).take(pa.array(fresh, pa.int64())))
+            fresh = _fresh(keys, seen)
+            h, offsets = flat_list(batch.column(1).take(pa.array(fresh, pa.int64())))
             n = np.diff(offsets)
             text = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], text))
+            order = np.lexsort((h, slots(h, level), text))
             pos = np.arange(len(h)) - offsets[:-1][text]
             kept = pos < (n + (-top * n // bottom) + 1)[text]  # n - ceil(t n) + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h[order][kept].view(np.int64)),
                     pa.array(keys[fresh][text][kept]),
-                    pa.array(n[text][kept].astype(np.int32)),
-                    pa.array(pos[kept].astype(np.int32)),
+                    pa.array((n[text][kept] << 32) + pos[kept]),
+                    pa.array(coarse_counts(h, offsets)[text][kept].view(np.int64)),
                 ],
-                ["cell", "set_key", "n", "pos"],
+                ["cell", "set_key", "place", "counts"],
             )
 
-    return runs.select("set_key", "n", "runs").mapInArrow(post, "cell bigint, set_key bigint, n int, pos int")
+    return runs.select("set_key", "runs").mapInArrow(post, "cell bigint, set_key bigint, place bigint, counts bigint")
 
 
-def candidates(cells: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: sets that meet in a cell where sizes and positions still allow the threshold.
+def candidates(cells: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
+    """(a, b), a < b: sets that meet in a cell where counts, sizes and positions still allow the threshold.
 
-    Both sides are the same exchange on ``cell``, which Spark reuses; a crowded cell is split by its skew handling.
+    Both sides are the same exchange on ``cell`` into ``parts`` partitions, which Spark reuses.
     """
     top, bottom = likeness_terms(threshold)
-    a = cells.select("cell", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = cells.select("cell", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    if parts:
+        cells = cells.repartition(parts, "cell")
+    a = cells.select("cell", F.col("set_key").alias("a"), F.col("place").alias("at"), F.col("counts").alias("ca"))
+    b = cells.select("cell", F.col("set_key").alias("b"), F.col("place").alias("bt"), F.col("counts").alias("cb"))
+    na, nb = F.shiftright("at", 32), F.shiftright("bt", 32)
+    low = F.lit((1 << 32) - 1)
+    left = F.least(na - F.col("at").bitwiseAND(low), nb - F.col("bt").bitwiseAND(low))
     return (
         a.join(b, "cell")
-        .where((F.col("a") < F.col("b")) & (left * (top + bottom) >= (F.col("na") + F.col("nb")) * top))
+        .where((F.col("a") < F.col("b")) & (left * (top + bottom) >= (na + nb) * top) & (coarse_distance("ca", "cb") * (top + bottom) <= (na + nb) * (bottom - top)))
         .select("a", "b").distinct()
     )
 
 
 def _taking_part(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row (set_key, runs) per set in ``found``, and perhaps a few others: a fixed-size bit filter spares the rest the shuffle."""
-    keys = found.select(F.explode(F.array("a", "b")).alias("k")).select((F.pmod("k", F.lit(1 << FILTER_BITS)) + 1).alias("p"))  # bit positions count from 1
-    bits = keys.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    whole = bytearray(1 << (FILTER_BITS - 3))
-    for r in bits:
+    """One row (set_key, runs) per set in ``found``, and perhaps a few others: a bit filter sized by ``found`` spares the rest the shuffle."""
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * found.count()).bit_length()))
+    keys = found.select(F.explode(F.array("a", "b")).alias("k")).select((F.pmod("k", F.lit(1 << size)) + 1).alias("p"))  # bit positions count from 1
+    bits = keys.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    whole = bytearray(1 << (size - 3))
+    for r in bits.toLocalIterator():
         at = (r["bucket"] - 1) * 4096
         whole[at : at + 4096] = r["bits"]
     shipped = runs.sparkSession.sparkContext.broadcast(bytes(whole))
@@ -149,10 +139,9 @@ def _taking_part(found: DataFrame, runs: DataFrame) -> DataFrame:
         field, seen = np.frombuffer(shipped.value, np.uint8), set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            at = keys % (1 << FILTER_BITS)
+            at = keys % (1 << size)
             hit = np.flatnonzero((field[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            fresh = [k for k in hit.tolist() if not (keys[k] in seen or seen.add(keys[k]))]
-            yield batch.take(pa.array(fresh, pa.int64()))
+            yield batch.take(pa.array(hit[_fresh(keys[hit], seen)], pa.int64()))
 
     return runs.select("set_key", "runs").mapInArrow(keep, "set_key bigint, runs array<bigint>").dropDuplicates(["set_key"])
 
@@ -197,9 +186,16 @@ def verified(found: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
 
 
 def class_pairs(runs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, likeness), a < b: all pairs of different run sets with at least the given likeness."""
-    cells = posted_cells(runs, rarity_sketch(runs), threshold)
-    return verified(materialise(candidates(cells, threshold), "candidates"), runs, threshold)
+    """(a, b, likeness), a < b: all pairs of different run sets with at least the given likeness.
+
+    The sketch, the filter and the partitions of the join are sized by the data.
+    """
+    top, bottom = likeness_terms(threshold)
+    held = runs.agg(F.sum("n").alias("runs"), F.sum(F.expr(f"n - (n * {top} + {bottom - 1}) div {bottom} + 1")).alias("posted")).first()
+    sketch = rarity_sketch(runs.select("runs"), bits_for((held["runs"] or 0) / PER_COUNTER))
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (held["posted"] or 0) // PART_ROWS)
+    cells = posted_cells(runs, sketch, threshold)
+    return verified(materialise(candidates(cells, threshold, parts), "candidates"), runs, threshold)
 
 
 def row_pairs(runs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -102,3 +102,22 @@ def test_rows_without_words_are_classes(spark, tmp_path):
     spark.createDataFrame(rows, "sample_id bigint, code string").write.parquet(str(tmp_path / "dataset_ml_ready.parquet"))
     got = sorted(tuple(r) for r in p3_groups(spark, str(tmp_path)).select("sample_id", "class_id", "group_id", "n_links").collect())
     assert got == [(1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 3, 0), (4, 4, 4, 0), (5, 5, 5, 0), (6, 6, 6, 0)]
+
+
+def test_coarse_distance_is_a_lower_bound(spark):
+    import numpy as np
+
+    from siftstone.llm.near import coarse_counts, coarse_distance
+
+    r = np.random.default_rng(4)
+    pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    rows = []
+    for n in (1, 5, 80, 400, 3000):
+        for _ in range(12):
+            a = np.unique(r.choice(pool, n))
+            b = np.unique(np.concatenate([r.choice(a, max(1, n * 9 // 10)), r.choice(pool, n // 8 + 1)]))
+            ca, cb = (int(coarse_counts(x, np.array([0, len(x)])).view(np.int64)[0]) for x in (a, b))
+            exact = sum(abs(min(int((a >> np.uint64(60) == k).sum()), 15) - min(int((b >> np.uint64(60) == k).sum()), 15)) for k in range(16))
+            rows.append((ca, cb, exact, len(np.setxor1d(a, b))))
+    got = spark.createDataFrame(rows, "a bigint, b bigint, exact int, apart int").select(coarse_distance("a", "b").alias("d"), "exact", "apart").collect()
+    assert all(x["d"] == x["exact"] <= x["apart"] for x in got)
