@@ -198,15 +198,20 @@ def _strata(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
 KEYS = ("cwe_label", "programming_language")
 
 
-def p1_report(spark, sf_dir: str) -> DataFrame:
-    """Targets, available and allocated rows per stratum."""
+def p1_allocation(spark, sf_dir: str) -> DataFrame:
+    """Targets, available, allocated and missing rows per stratum."""
     read, targets, size = _strata(spark, sf_dir)
     return stratum_report(read.select(*KEYS), targets, KEYS, "target_bp", "min_rows", size)
 
 
+def p1_report(spark, sf_dir: str) -> DataFrame:
+    """Targets, required, available and missing rows per stratum: where the targets could not be met."""
+    return p1_allocation(spark, sf_dir).drop("allocated")
+
+
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """Strata of which too few rows exist."""
-    return p1_report(spark, sf_dir).where("missing > 0").select(*KEYS)
+    return p1_allocation(spark, sf_dir).where("missing > 0").select(*KEYS)
 
 
 def p1_sample(spark, sf_dir: str) -> DataFrame:
@@ -215,4 +220,4 @@ def p1_sample(spark, sf_dir: str) -> DataFrame:
     return draw(read, stratum_report(read.select(*KEYS), targets, KEYS, "target_bp", "min_rows", size), KEYS, "sample_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_sample": p1_sample}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_allocation": p1_allocation, "p1_sample": p1_sample}
