@@ -60,7 +60,8 @@ def early_stopping(df: DataFrame, run: str, epoch: str, score: str, delta: float
     """(run, best, best_epoch, stopped_at): the fold over a run's epochs; ``stopped_at`` is null if patience never ran out.
 
     The best moves only when beaten by more than ``delta``, which no window frame can state. Runs are sorted within their
-    partition and folded as they stream by, so memory doesn't grow with a run. Null scores are skipped; equal epochs are
+    partition and folded as they stream by, so memory doesn't grow with a run; each step needs the one before, so a run is one
+    task's stream, row by row. Null scores are skipped; equal epochs are
     folded by rising score.
     """
     kind = df.schema[run].dataType.simpleString()

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftstone.plans.dims import sized
+from siftstone.plans.scratch import materialise
 
+#: Ranges into which a group's values are cut to find quantiles.
+QUANTILE_RANGES = 64
 METRICS = ("nloc", "complexity", "token_count", "top_nesting_level")
 
 
@@ -61,12 +66,44 @@ def numeric_summary(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFram
     return df.agg(*[p.alias(f"__{i}") for i, p in enumerate(parts)]).select(F.explode(F.array(*[f"__{i}" for i in range(len(parts))])).alias("s")).select("s.*")
 
 
+def exact_quantiles(rows: DataFrame, groups: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
+    """(groups, n_values, q0, q1, ...): quantiles of ``value`` by linear interpolation, nulls not counted.
+
+    Equal values are counted first. A sketch then cuts each group's values into ranges, their counts tell in which ranges the
+    wanted ranks lie, and only these are sorted, each on its own: no task holds a group, and the result is exact wherever the
+    sketch cuts. A group without values has no row.
+    """
+    keys = list(groups)
+    counted = materialise(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c")), "counted")
+    cuts = F.percentile_approx("__v", [k / QUANTILE_RANGES for k in range(1, QUANTILE_RANGES)], 10 * QUANTILE_RANGES)
+    edges = materialise(counted.groupBy(*keys).agg(F.array_distinct(cuts).alias("__edges"), F.sum("__c").alias("n_values")), "edges")  # one row a group
+    known = [F.col(k) for k in keys]
+
+    def beside(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, *more])], *[c for c in right.columns if c not in (*keys, *more)])
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, *more])])
+        return left.join(sized(named), on).drop(*[f"__k{i}" for i in range(len(keys) + len(more))])
+
+    ranged = beside(counted, edges).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+    ranks = [(F.lit(p) * (F.col("n_values") - 1)) for p in fractions]
+    wanted = [f(r).cast("bigint") for r in ranks for f in (F.floor, F.ceil)]
+    starts = ranged.groupBy(*keys, "__b").agg(F.sum("__c").alias("__held"), F.max("n_values").alias("n_values"))
+    starts = starts.withColumn("__start", F.sum("__held").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__held"))
+    hit = reduce(or_, [(w >= F.col("__start")) & (w < F.col("__start") + F.col("__held")) for w in wanted])
+    picked = materialise(starts.where(hit).select(*keys, "__b", "__start"), "starts")
+    upto = F.col("__start") + F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v"))
+    placed = beside(ranged, picked, "__b").withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
+    at = placed.groupBy(*known, "n_values").agg(*[F.max(F.when((w >= F.col("__from")) & (w < F.col("__to")), F.col("__v"))).alias(f"__w{i}") for i, w in enumerate(wanted)])
+    part = [r - F.floor(r) for r in ranks]
+    return at.select(*keys, "n_values", *[((1 - f) * F.col(f"__w{2 * i}") + f * F.col(f"__w{2 * i + 1}")).alias(f"q{i}") for i, f in enumerate(part)])
+
+
 def box_statistics(rows: DataFrame, group: str, metric: str = "metric", value: str = "value", iqr: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation) and whiskers (the most extreme values within ``iqr`` quartile ranges)."""
-    known = rows.where(F.col(value).isNotNull())
-    quartiles = known.groupBy(group, metric).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n_values"))
-    q = quartiles.select(group, metric, "n_values", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    fenced = known.join(sized(q), [group, metric])  # one row a class and metric
+    known = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull() & F.col(metric).isNotNull())
+    q = exact_quantiles(known, [group, metric], value, (0.25, 0.5, 0.75))
+    q = q.select(group, metric, "n_values", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    fenced = known.join(sized(materialise(q, "quartiles")), [group, metric])  # one row a class and metric
     spread = F.lit(iqr) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - spread) & (F.col(value) <= F.col("q3") + spread)
     return fenced.where(inside).groupBy(group, metric, "n_values", "q1", "median", "q3").agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))

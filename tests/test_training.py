@@ -99,6 +99,23 @@ def test_absent_metrics_and_console_lines(spark):
     assert {r["id"]: r["n_rows"] for r in held.collect()} == {"a": 1, "z": 0}
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 997, 6000])
+def test_exact_quantiles(spark, n):
+    import random
+
+    import numpy as np
+
+    r = random.Random(n)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 3.0, 3.0, r.random() * 1000, float(r.randrange(40)), -5.5])) for _ in range(n)]
+    fractions = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    got = {x["g"]: x for x in profile.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", fractions).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g]["n_values"] == len(own)
+        assert [got[g][f"q{i}"] for i in range(len(fractions))] == pytest.approx(np.quantile(own, fractions).tolist())
+    assert len(got) == len({g for g, v in rows if v is not None})
+
+
 def test_augment_keeps_and_masks(spark):
     code = "int counter = total + query; " * 40
     rows = spark.createDataFrame([(i, code) for i in range(60)] + [(99, None), (98, "")], "id int, code string")
