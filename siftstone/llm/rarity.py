@@ -63,6 +63,6 @@ def rarity_sketch(runs: DataFrame, bits: int) -> np.ndarray:
 
     summed = runs.mapInArrow(parts, "chunk int, places binary, counts binary").repartition("chunk").mapInArrow(sums, "chunk int, level binary")
     levels = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.uint8)
-    for r in summed.collect():
+    for r in summed.toLocalIterator():
         levels[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
     return levels.ravel()
