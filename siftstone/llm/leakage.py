@@ -34,8 +34,8 @@ from siftstone.plans.dims import sized
 from siftstone.plans.scratch import materialise, scratch_path
 from siftstone.sources.tables import table
 
-#: Words a shard of the index holds at most, unless a single text is longer: some 200 MB while it is built.
-SHARD_WORDS = 2_000_000
+#: Words a shard of the index holds, twice as many at most unless a single text is longer: some 50 MB a million while it is built.
+SHARD_WORDS = 500_000
 WIDTH = 3
 THRESHOLD = 0.7
 #: Training codes of one shard that are searched in one task.
