@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.functions.readings import code_form
 from siftstone.llm.leakage import overlap_report, overlaps
@@ -71,3 +72,26 @@ def test_hot_copies_and_nothing(spark):
     assert overlaps(df, "id", "code", "split").count() == 100 * 100
     for none in (df.limit(0), df.where("split = 'train'"), df.where("split = 'val'")):
         assert overlaps(none, "id", "code", "split").count() == 0
+
+
+def test_edges(spark):
+    long = " ".join(f"w{i % 4001}" for i in range(60_000))
+    rows = [
+        (1, long, "train"), (2, long.replace("w7 ", "w8 ", 3), "val"), (None, "a b c d", "train"), (None, "a b c d", "train"), (5, "a b c d", "test"), (5, "a b c d", "test"), (6, None, "val"),
+        (7, " \n", "train"), (8, "___", "train"), (9, "___", "val"), (10, "a, b; c D", None), (11, "😀 ; é", "train"), (12, "É", "test"), (13, "a b c", ""),
+    ]
+    df = spark.createDataFrame(rows, "id int, code string, split string").withColumns({c: F.lit(0) for c in ("class", "words", "entry", "folder", "a", "b", "n", "cut")})
+    got = sorted(overlaps(df, "id", "code", "split").select("train_id", "eval_id", "same_form").collect(), key=str)
+    want = [(1, 2, False), (8, 9, False), (11, 12, True), *[(None, 5, True)] * 4]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    spread = {(r["train_id"], r["eval_id"]): r for r in overlaps(df, "id", "code", "split", shard_words=500).collect()}
+    assert spread[1, 2]["spans"] == 1 and 30_000 < spread[1, 2]["longest"] < 60_000  # the text repeats itself, so shifted matches cover the edits
+
+
+def test_hot_family_is_spread(spark):
+    """A third of all rows are variants of one code: they share their rarest runs, and are cut over several shards."""
+    base = [f"k{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"v{i % 40}", *base[30:]]) if i % 3 == 0 else f"own{i} text{i} of{i} its{i} own{i}", "train" if i % 2 else "val") for i in range(720)]
+    df = spark.createDataFrame(rows, "id int, code string, split string")
+    got = {(r["train_id"], r["eval_id"]) for r in overlaps(df, "id", "code", "split", shard_words=200).collect()}
+    assert got == {(i, j) for i in range(3, 720, 6) for j in range(0, 720, 6)}
