@@ -9,17 +9,18 @@ from siftstone.llm import mixing, packing, sampling, splitting
 from siftstone.plans.scratch import materialise
 from siftstone.sources.tables import table
 
-#: How far the share of a source may lie from its target: its last text may exceed its demand.
-SHARE_SLACK = 0.05
-
 
 def p1_checked(spark, sf_dir: str) -> DataFrame:
-    """Per target stratum: whether the sample keeps its minimum (or all rows there are), and the size of the whole sample."""
+    """Per target stratum: whether the sample keeps its minimum (or all rows there are), and the size of the whole sample.
+
+    Where all minimums together exceed the sample none is promised, and a stratum then may not exceed its minimum.
+    """
     drawn = materialise(sampling.p1_sample(spark, sf_dir).groupBy(*sampling.KEYS).agg(F.count("*").alias("n"), F.max("draw_rank").alias("last")), "drawn")
     report = sampling.p1_allocation(spark, sf_dir).join(drawn, list(sampling.KEYS), "left")
-    n = F.coalesce("n", F.lit(0))
-    kept = (n >= F.least("min_rows", "available")) & (n <= F.col("available")) & (n == F.coalesce("last", F.lit(0)))
+    least, n = F.least("min_rows", "available"), F.coalesce("n", F.lit(0))
     size = drawn.agg(F.sum("n")).first()[0] or 0
+    fits = (report.agg(F.sum(least)).first()[0] or 0) <= size
+    kept = (n <= F.col("available")) & (n == F.coalesce("last", F.lit(0))) & ((n >= least) if fits else (n <= least))
     return report.select(*sampling.KEYS, "available", kept.alias("keeps_minimum"), F.lit(size).cast("bigint").alias("sample_rows"))
 
 
@@ -50,10 +51,12 @@ def p7_checked(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_checked(spark, sf_dir: str) -> DataFrame:
-    """Per source: its limits, and whether its share is met and no text drawn too often."""
-    shares = mixing.p8_shares(spark, sf_dir)
-    met = F.abs(F.col("actual_share") - F.col("target_share")) <= F.lit(SHARE_SLACK)
-    return shares.select("source", "target_share", "max_repeats", met.alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"))
+    """Per source: its limits, whether its demand is met (the last text may exceed it) and no text is drawn too often."""
+    mixed, plan = mixing.mixed_documents(spark, sf_dir)
+    drawn = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"), F.max("copy_no").alias("most"))
+    held = plan.join(drawn, "source", "left").fillna(0, ["n", "longest", "most"])
+    met = (F.col("n") >= F.col("demand")) & ((F.col("n") < F.col("demand") + F.col("longest")) | (F.col("n") == 0)) & (F.col("unmet") == 0)
+    return held.select("source", "target_share", "max_repeats", met.alias("share_met"), (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"))
 
 
 QUERIES = {"p1_checked": p1_checked, "p4_checked": p4_checked, "p7_checked": p7_checked, "p8_checked": p8_checked}

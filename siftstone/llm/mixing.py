@@ -140,19 +140,20 @@ def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.withColumn("actual_share", F.try_divide(F.col("n_tokens").cast("double"), total))
 
 
-def _mixed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def mixed_documents(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mix of the documents, and its plan."""
     texts = token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "text", ("source",))
     return mix(texts, table(spark, sf_dir, "source_weight"), "doc_id", "source", "n_tokens")
 
 
 def p8_mix(spark, sf_dir: str) -> DataFrame:
     """The texts drawn, with their place in training."""
-    return _mixed(spark, sf_dir)[0]
+    return mixed_documents(spark, sf_dir)[0]
 
 
 def p8_shares(spark, sf_dir: str) -> DataFrame:
     """Target and actual shares of the sources, and what could not be met."""
-    mixed, plan = _mixed(spark, sf_dir)
+    mixed, plan = mixed_documents(spark, sf_dir)
     return shares(materialise(mixed, "mixed"), plan)
 
 
